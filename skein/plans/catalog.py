@@ -93,3 +93,117 @@ def answer_total(spark, sf):
     comp = fx.completions(spark, sf)
     out = answers.score_answers(comp, keep=["conv_id", "turn", "step"])
     return round_doubles(out)
+
+
+# ---- step 3: prompts --------------------------------------------------------
+
+from skein.operators import pairs as PR  # noqa: E402
+from skein.operators import prompts as PM  # noqa: E402
+from skein.operators import scoring as SC  # noqa: E402
+from skein.operators import vectors as VE  # noqa: E402
+from skein.sources.prompts import union_by_name  # noqa: E402
+
+
+@register("union_prompts")
+def union_prompts(spark, sf):
+    parts = [fx.pair_prompts(spark, sf), fx.doc_prompts(spark, sf), fx.design_prompts(spark, sf)]
+    return round_doubles(union_by_name(parts))
+
+
+def _scored_pair_prompts(spark, sf):
+    prompts = fx.pair_prompts(spark, sf)
+    a, b, ok = SC.keyword_pair("keywords")
+    vec = VE.attach_pair_vectors(prompts, fx.seq_vectors(spark, sf),
+                                 key_a=F.when(ok, a), key_b=F.when(ok, b))
+    scorer = SC.PairScorer.by_rule(64)
+    return SC.score_pairs(vec, scorer, label="label")
+
+
+@register("soft_label_prompts")
+def soft_label_prompts(spark, sf):
+    out = PM.soft_label_from_probability(_scored_pair_prompts(spark, sf))
+    return round_doubles(out.select(
+        "pair_id", "prompt", F.col("soft_label").alias("label"), "classes",
+        "class_confidences", "keywords", "task", "probability", "scored"))
+
+
+@register("soft_label_given")
+def soft_label_given(spark, sf):
+    out = PM.soft_label_given(fx.doc_prompts(spark, sf))
+    return round_doubles(out.select("doc_id", "label", "prob_score", "classes",
+                                    "class_confidences"))
+
+
+@register("cycled_prompts")
+def cycled_prompts(spark, sf):
+    out = PM.cycle_prompts(fx.pair_prompts(spark, sf), balance=True)
+    return out.select("replica", "pair_id", "keywords", "task", "label")
+
+
+# ---- step 4: pair vectors and scores ------------------------------------------
+
+def _pairs_with_target(spark, sf):
+    return fx.pairs(spark, sf).join(
+        fx.designs(spark, sf).select(F.col("id").alias("pair_id"),
+                                     F.col("label").alias("target_id")), "pair_id")
+
+
+@register("pair_diff_vectors")
+def pair_diff_vectors(spark, sf):
+    out = VE.attach_pair_vectors(fx.pairs(spark, sf), fx.seq_vectors(spark, sf))
+    return round_doubles(out.select("pair_id", "seqA", "seqB", "has_vectors", "features"))
+
+
+@register("pair_concat_vectors")
+def pair_concat_vectors(spark, sf):
+    genes = fx.seq_vectors(spark, sf).select(F.lower("seq").alias("seq"), "embedding")
+    prompts = fx.pair_prompts(spark, sf)
+    a, b, ok = SC.keyword_pair("keywords")
+    out = VE.attach_pair_vectors(prompts, genes, key_a=F.when(ok, a), key_b=F.when(ok, b),
+                                 mode="concat", lower_probe=True)
+    return round_doubles(out.select("pair_id", "has_vectors", "features"))
+
+
+@register("pair_target_vectors")
+def pair_target_vectors(spark, sf):
+    targets = read_table_cols(spark, sf, "embeddings", F.col("vec_id").alias("target_id"),
+                              "embedding")
+    out = VE.attach_pair_vectors(_pairs_with_target(spark, sf), fx.seq_vectors(spark, sf),
+                                 mode="diff_plus_target", targets=targets)
+    return round_doubles(out.select("pair_id", "target_id", "has_vectors", "features"))
+
+
+@register("pair_scores")
+def pair_scores(spark, sf):
+    vec = VE.attach_pair_vectors(fx.pairs(spark, sf), fx.seq_vectors(spark, sf))
+    out = SC.score_pairs(vec, SC.PairScorer.by_rule(64))
+    return round_doubles(out.select("pair_id", "scored", "probability"))
+
+
+@register("missing_vector_count")
+def missing_vector_count(spark, sf):
+    vec = VE.attach_pair_vectors(fx.pairs(spark, sf), fx.seq_vectors(spark, sf))
+    return VE.missing_vector_count(vec)
+
+
+def read_table_cols(spark, sf, name, *cols):
+    from skein.sources.tables import read_table
+    return read_table(spark, sf, name).select(*cols)
+
+
+# ---- step 5: pairs from design cycles -----------------------------------------
+
+@register("pair_labels")
+def pair_labels(spark, sf):
+    p = fx.pairs(spark, sf)
+    return p.select("pair_id", "seqA_plddt", "seqB_plddt", PR.pair_label().alias("label"))
+
+
+@register("cycle_dedupe")
+def cycle_dedupe(spark, sf):
+    return PR.dedupe_cycles(fx.design_cycles(spark, sf))
+
+
+@register("sampled_partners")
+def sampled_partners(spark, sf):
+    return PR.cycle_pairs(fx.design_cycles(spark, sf), resolve="max")

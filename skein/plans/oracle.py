@@ -50,3 +50,108 @@ ORACLE["answer_total"] = _with_completions(
     "round(0.5 * f + 2.5 * " + S.asymmetric("a") + " + 0.5 * m, 6) AS total_reward "
     "FROM (SELECT conv_id, turn, step, " + _COMPOSITE + " AS f, "
     + S.mention("completion", "keywords") + " AS m, " + _ANSWER + " AS a FROM completions) x")
+
+
+# ---- steps 3-5 --------------------------------------------------------------
+
+_BASE = [("designs", S.DESIGNS), ("seq_vectors", S.SEQ_VECTORS), ("pairs", S.PAIRS)]
+_PROMPTS = _BASE + [("pair_prompts", S.PAIR_PROMPTS)]
+
+ORACLE["union_prompts"] = S.ctes(*_PROMPTS, ("doc_prompts", S.DOC_PROMPTS),
+                                 ("design_prompts", S.DESIGN_PROMPTS)) + """
+select * from pair_prompts union all by name select * from doc_prompts
+union all by name select * from design_prompts"""
+
+_SCORED_PROMPTS = """
+select pp.*, (ok and ea is not null and eb is not null) as scored, ea, eb from (
+  select *, string_split(keywords, '|') as parts,
+    (keywords is not null and keywords <> '' and contains(keywords, '|')
+     and len(string_split(keywords, '|')) >= 2) as ok
+  from pair_prompts) pp
+left join (select seq as ka, embedding as ea from seq_vectors) va on ok and va.ka = pp.parts[1]
+left join (select seq as kb, embedding as eb from seq_vectors) vb on ok and vb.kb = pp.parts[2]
+"""
+
+_PROB = ("case when scored then 1.0 / (1.0 + exp(-(" + S.mlp_logit(S.vsub("ea", "eb"))
+         + "))) else 0.5 end")
+
+ORACLE["soft_label_prompts"] = S.ctes(*_PROMPTS, ("sp", _SCORED_PROMPTS)) + """
+select pair_id, """ + S.prompt_text("system_prompt", "user_prompt") + """ as prompt,
+  (p > 0.5)::INT as label, 'no|yes' as classes, printf('%.3f|%.3f', 1.0 - p, p) as class_confidences,
+  keywords, task, round(p, 6) as probability, scored
+from (select *, case when scored and (case when seqA_plddt > seqB_plddt then 1 else 0 end) <> label
+          then 1.0 - q else q end as p
+      from (select *, """ + _PROB + """ as q from sp) a) b"""
+
+ORACLE["soft_label_given"] = S.ctes(("doc_prompts", S.DOC_PROMPTS)) + """
+select doc_id, label, round(prob_score, 6) as prob_score, 'no|yes' as classes,
+  case when label = 1 then printf('%.3f|%.3f', 1.0 - prob_score, prob_score)
+       when label = 0 then printf('%.3f|%.3f', prob_score, 1.0 - prob_score) end
+  as class_confidences
+from doc_prompts"""
+
+ORACLE["cycled_prompts"] = S.ctes(*_PROMPTS) + """
+select r.replica::INT as replica, pair_id, keywords, task, label
+from pair_prompts, (select unnest([0, 1]) as replica) r"""
+
+_PAIR_VECS = """
+select p.*, ea, eb, (ea is not null and eb is not null) as has_vectors
+from pairs p
+left join (select seq as ka, embedding as ea from seq_vectors) va on va.ka = p.seqA
+left join (select seq as kb, embedding as eb from seq_vectors) vb on vb.kb = p.seqB
+"""
+
+ORACLE["pair_diff_vectors"] = S.ctes(*_BASE, ("pv", _PAIR_VECS)) + """
+select pair_id, seqA, seqB, has_vectors,
+  case when has_vectors then """ + S.vround(S.vsub("ea", "eb")) + """ end as features
+from pv"""
+
+ORACLE["pair_concat_vectors"] = S.ctes(*_PROMPTS) + """
+select pair_id, (ea is not null and eb is not null) as has_vectors,
+  case when ea is not null and eb is not null then """ + S.vround("list_concat(ea, eb)") + """ end
+  as features
+from (select *, string_split(keywords, '|') as parts,
+    (keywords is not null and keywords <> '' and contains(keywords, '|')
+     and len(string_split(keywords, '|')) >= 2) as ok from pair_prompts) pp
+left join (select lower(seq) as ka, embedding as ea from seq_vectors) va
+  on ok and va.ka = lower(pp.parts[1])
+left join (select lower(seq) as kb, embedding as eb from seq_vectors) vb
+  on ok and vb.kb = lower(pp.parts[2])"""
+
+ORACLE["pair_target_vectors"] = S.ctes(*_BASE, ("pv", _PAIR_VECS)) + """
+select pair_id, target_id, (has_vectors and et is not null) as has_vectors,
+  case when has_vectors and et is not null then
+    """ + S.vround("list_transform(range(len(ea)), lambda i: (ea[i+1] - eb[i+1]) + et[i+1])") + """
+  end as features
+from pv left join (select vec_id as tk, embedding as et from embeddings) t on t.tk = pv.target_id"""
+
+ORACLE["pair_scores"] = S.ctes(*_BASE, ("pv", _PAIR_VECS)) + """
+select pair_id, has_vectors as scored,
+  round(case when has_vectors then 1.0 / (1.0 + exp(-(""" + S.mlp_logit(S.vsub("ea", "eb")) + """)))
+        else 0.5 end, 6) as probability
+from pv"""
+
+ORACLE["missing_vector_count"] = S.ctes(*_BASE, ("pv", _PAIR_VECS)) + """
+select count(*) as n, sum((not has_vectors)::INT)::BIGINT as invalid from pv"""
+
+ORACLE["pair_labels"] = S.ctes(*_BASE) + """
+select pair_id, seqA_plddt, seqB_plddt,
+  case when seqA_plddt is null or seqB_plddt is null then null
+       when seqA_plddt > seqB_plddt then 1 else 0 end::INT as label
+from pairs"""
+
+ORACLE["cycle_dedupe"] = S.ctes(("designs", S.DESIGNS), ("cycles", S.DESIGN_CYCLES)) + """
+select distinct generate_seq, plddt from cycles"""
+
+ORACLE["sampled_partners"] = S.ctes(
+    ("designs", S.DESIGNS), ("cycles", S.DESIGN_CYCLES),
+    ("r", "select generate_seq, max(plddt) as plddt from "
+          "(select distinct generate_seq, plddt from cycles) d group by generate_seq"),
+    ("ix", "select generate_seq, plddt, row_number() over (order by md5(generate_seq), "
+           "generate_seq) - 1 as idx from r"),
+    ("a", "select generate_seq as seqA, plddt as seqA_plddt, k::INT as k, "
+          "('0x' || substr(md5('42:' || generate_seq || ':' || k::VARCHAR), 1, 15))::BIGINT "
+          "% (select count(*) from r) as t from r, (select unnest(range(5)) as k) kk")) + """
+select seqA, seqA_plddt, k, ix.generate_seq as seqB, ix.plddt as seqB_plddt,
+  (case when seqA_plddt > ix.plddt then 1 else 0 end)::INT as label
+from a join ix on ix.idx = a.t"""

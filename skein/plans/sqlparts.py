@@ -143,3 +143,87 @@ from (select *, case (conv_id+turn)%4 when 0 then 'yes' when 1 then 'no'
         (conv_id*37+turn*11)%1001 as k
       from conversations where role='assistant') b
 """
+
+
+DESIGNS = """
+select id, case when id%11=0 then lower(s) when id%5=0 then repeat(substr(s,1,2),6)
+  else s end as seq, (50+5*label)::DOUBLE as plddt, label
+from (select vec_id as id, label,
+        translate(substr(md5(cast(vec_id as varchar)),1,cast(4+vec_id%14 as int)),
+                  '0123456789abcdef','ACDEFGHIKLMNPQRS') as s
+      from embeddings) b
+"""
+
+SEQ_VECTORS = """
+select seq, arg_min(embedding, id) as embedding
+from designs d join embeddings e on e.vec_id = d.id
+where regexp_full_match(seq, '[ARNDCEQGHILKMFPSTWYV]+')
+group by seq
+"""
+
+PAIRS = """
+select a.id as pair_id, a.seq as seqA, a.plddt as seqA_plddt, b.seq as seqB,
+       b.plddt as seqB_plddt, a.label as target_id
+from designs a join designs b on b.id = (a.id*7+3) % (select count(*) from embeddings)
+"""
+
+PAIR_SYSTEM = ("A conversation between User and Biologist. The Biologist reasons inside "
+               "<think> </think> and answers yes or no inside <answer> </answer>.")
+
+PAIR_PROMPTS = """
+select pair_id, '""" + PAIR_SYSTEM + """' as system_prompt,
+  'Is '||seqA||' more likely to bind than '||seqB||'? Answer yes or no.' as user_prompt,
+  case when pair_id%17=0 then seqA else seqA||'|'||seqB end as keywords,
+  'pair_preference' as task, (seqA_plddt >= seqB_plddt)::INT as label, seqA_plddt, seqB_plddt
+from pairs
+"""
+
+DOC_PROMPTS = """
+select d.doc_id, 'Read the passage and answer yes or no.' as system_prompt,
+  'Is this passage of good quality? '||substring(text,1,200) as user_prompt,
+  lang||'|'||source as keywords, source as task,
+  (case when toxic=1 then 2 else quality end)::INT as label,
+  (n_chars % 1001) / 1000.0 as prob_score
+from documents d left join labels l on l.doc_id = d.doc_id
+"""
+
+DESIGN_PROMPTS = """
+select id as prompt_id, '""" + PAIR_SYSTEM + """' as system_prompt,
+  'Design a cyclic peptide that binds better than '||seq||'.' as user_prompt,
+  seq||'|'||substr(seq,1,3) as keywords, 'design' as task, seq as candidate,
+  plddt as candidate_plddt
+from designs
+"""
+
+DESIGN_CYCLES = """
+select unnest(case when id%10=0 then [id%3, (id%3+1)%3] else [id%3] end) as cycle,
+       seq as generate_seq, plddt
+from designs
+"""
+
+
+def prompt_text(system: str, user: str) -> str:
+    nl = "chr(10)"
+    return ("'<|system|>' || " + nl + " || " + system + " || " + nl + " || '<|user|>' || " + nl
+            + " || " + user + " || " + nl + " || '<|assistant|>' || " + nl)
+
+
+def mlp_logit(x: str, hidden: int = 32) -> str:
+    """Rule weights W1[j,i] = ((7i+13j)%11-5)/10, W2[j] = ((5j)%7-3)/10."""
+    h = ("list_transform(range(" + str(hidden) + "), lambda j: greatest(list_sum("
+         "list_transform(range(len(" + x + ")), lambda i: (((7*i+13*j)%11)-5)/10.0 * "
+         + x + "[i+1])), 0.0))")
+    return ("list_sum(list_transform(range(" + str(hidden) + "), lambda jj: (((5*jj)%7)-3)/10.0 * "
+            + h + "[jj+1]))")
+
+
+def vsub(a: str, b: str) -> str:
+    return "list_transform(range(len(" + a + ")), lambda i: " + a + "[i+1] - " + b + "[i+1])"
+
+
+def vround(v: str) -> str:
+    return "list_transform(" + v + ", lambda x: round(x::DOUBLE, 6))"
+
+
+def ctes(*parts: tuple[str, str]) -> str:
+    return "WITH " + ",\n".join(name + " AS (" + sql + ")" for name, sql in parts) + "\n"
