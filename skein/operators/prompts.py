@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- fixed values ---------------------------------------------------------
 CLASSES = "no|yes"
@@ -48,7 +49,7 @@ def chat_messages(system="system_prompt", user="user_prompt") -> Column:
                    F.struct(F.lit("user").alias("role"), u.alias("content")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def confidence_text(first: pd.Series, second: pd.Series) -> pd.Series:
     """``"%.3f|%.3f"`` exactly as Python renders it; null when either is null."""
     out = [None if (pd.isna(a) or pd.isna(b)) else f"{a:.3f}|{b:.3f}"

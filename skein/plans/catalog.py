@@ -207,3 +207,95 @@ def cycle_dedupe(spark, sf):
 @register("sampled_partners")
 def sampled_partners(spark, sf):
     return PR.cycle_pairs(fx.design_cycles(spark, sf), resolve="max")
+
+
+# ---- step 6: design scoring and the ledger ------------------------------------
+
+from skein.functions import numeric as NU  # noqa: E402
+from skein.functions import vectors as FV  # noqa: E402
+from skein.operators import designs as DS  # noqa: E402
+from skein.operators import embed as EM  # noqa: E402
+from skein.operators import fingerprint as FP  # noqa: E402
+from skein.operators import ledger as LG  # noqa: E402
+
+_DESIGN_OUT = ["id", "step", "pos", "generate_seq", "valid", "format_reward", "mention_reward",
+               "design_reward", "diversity_reward", "repetition_penalty", "total_reward"]
+
+
+@register("designed_sequences")
+def designed_sequences(spark, sf):
+    return DS.designed_sequences(fx.design_completions(spark, sf), keep=["id"])
+
+
+@register("motif_repetition")
+def motif_repetition(spark, sf):
+    d = fx.designs(spark, sf)
+    r = FV.motif_repeats_short("seq")
+    return round_doubles(d.select("id", r.cast("long").alias("repeats"),
+                                  NU.diversity_squash(r).alias("diversity_reward")))
+
+
+@register("motif_repetition_text")
+def motif_repetition_text(spark, sf):
+    conv = read_table_cols(spark, sf, "conversations", "conv_id", "turn", "text")
+    return DS.motif_repeats_long(conv, ["conv_id", "turn"], "text")
+
+
+@register("residue_dominance")
+def residue_dominance(spark, sf):
+    d = fx.designs(spark, sf)
+    return round_doubles(d.select("id", FV.residue_dominance("seq").alias("dominance")))
+
+
+@register("plddt_reward")
+def plddt_reward(spark, sf):
+    p = fx.pairs(spark, sf)
+    return round_doubles(p.select("pair_id", NU.plddt_reward("seqA_plddt", "seqB_plddt")
+                                  .alias("plddt_reward")))
+
+
+@register("design_total")
+def design_total(spark, sf):
+    out = DS.score_designs(fx.design_completions(spark, sf), keep=["id"])
+    return round_doubles(out.select(*_DESIGN_OUT))
+
+
+@register("ledger_last")
+def ledger_last(spark, sf):
+    scored = DS.score_designs(fx.design_completions(spark, sf), keep=["id"])
+    return round_doubles(LG.last_scores(scored))
+
+
+@register("ledger_running_count")
+def ledger_running_count(spark, sf):
+    out = DS.score_designs(fx.design_completions(spark, sf), keep=["id"],
+                           repetition="running_count")
+    return round_doubles(out.select("id", "generate_seq", "prior_count", "repetition_penalty",
+                                    "total_reward"))
+
+
+# ---- step 7: embeddings and the fingerprint -----------------------------------
+
+@register("composition_embeddings")
+def composition_embeddings(spark, sf):
+    return round_doubles(EM.embed_sequences(fx.designs(spark, sf), "seq"))
+
+
+@register("new_sequences")
+def new_sequences(spark, sf):
+    cycles = fx.design_cycles(spark, sf)
+    cache = EM.embed_sequences(cycles.filter(F.col("cycle") == 0), "generate_seq")
+    designed = DS.designed_sequences(fx.design_completions(spark, sf)).filter(F.col("valid"))
+    return round_doubles(EM.embed_sequences(designed, "generate_seq", cache=cache))
+
+
+@register("mean_pool")
+def mean_pool(spark, sf):
+    return round_doubles(EM.mean_pool(fx.token_vectors(spark, sf)))
+
+
+@register("embedding_fingerprint")
+def embedding_fingerprint(spark, sf):
+    e = read_table_cols(spark, sf, "embeddings", F.col("vec_id").cast("string").alias("seq"),
+                        "embedding")
+    return FP.table_fingerprint(e)

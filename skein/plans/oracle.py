@@ -155,3 +155,101 @@ ORACLE["sampled_partners"] = S.ctes(
 select seqA, seqA_plddt, k, ix.generate_seq as seqB, ix.plddt as seqB_plddt,
   (case when seqA_plddt > ix.plddt then 1 else 0 end)::INT as label
 from a join ix on ix.idx = a.t"""
+
+
+# ---- steps 6-7 --------------------------------------------------------------
+
+_GEN, _VALID = S.designed("completion")
+_DC = [("designs", S.DESIGNS), ("dc", S.DESIGN_COMPLETIONS)]
+_DESIGN_ROWS = """
+select id, step, pos, candidate, """ + _COMPOSITE + """ as format_reward,
+  """ + S.mention("completion", "keywords", design_mode=True) + """ as mention_reward,
+  """ + _GEN + """ as generate_seq, """ + _VALID + """ as valid
+from dc"""
+_GATED = "(generate_seq is not null and length(generate_seq) between 5 and 15)"
+_DESIGN_SCORED = """
+select *, 0.5 * format_reward + 2.5 * design_reward + 0.25 * diversity_reward
+          + 0.5 * mention_reward - 0.25 * repetition_penalty as total_reward
+from (select *, case when """ + _GATED + " then " + S.sigmoid(S.mlp_logit("xv")) + """ else 0.0 end
+          as design_reward,
+        case when """ + _GATED + " then 1 - tanh(" + S.motif_repeats("generate_seq") + """ / 10.0)
+          else 0.0 end as diversity_reward,
+        0.0 as repetition_penalty
+      from (select *, """ + S.vsub("cg", "cc") + """ as xv
+            from (select *, """ + S.composition("generate_seq") + " as cg, " + S.composition(
+    "candidate") + """ as cc from rows) r0) r1) x"""
+_DESIGN_CTES = _DC + [("rows", _DESIGN_ROWS), ("scored", _DESIGN_SCORED)]
+
+ORACLE["designed_sequences"] = S.ctes(*_DC) + (
+    "select id, " + _GEN + " as generate_seq, " + _VALID + " as valid from dc")
+
+ORACLE["motif_repetition"] = S.ctes(("designs", S.DESIGNS)) + (
+    "select id, " + S.motif_repeats("seq") + "::BIGINT as repeats, round(1 - tanh("
+    + S.motif_repeats("seq") + " / 10.0), 6) as diversity_reward from designs")
+
+ORACLE["motif_repetition_text"] = """
+with m as (
+  select conv_id, turn, substring(text, i, w) as motif, w from (
+    select conv_id, turn, text, w, unnest(range(1, length(text) - w + 2)) as i
+    from (select conv_id, turn, text, unnest([2, 3, 4]) as w from conversations) a) b),
+c as (select conv_id, turn, w, motif, count(*) as c from m group by all),
+r as (select conv_id, turn, sum(c - 1) as repeats from c where c > 2 group by all)
+select k.conv_id, k.turn, coalesce(r.repeats, 0)::BIGINT as repeats
+from conversations k left join r on r.conv_id = k.conv_id and r.turn = k.turn"""
+
+ORACLE["residue_dominance"] = S.ctes(("designs", S.DESIGNS)) + """
+select id, round(case when length(seq) > 0 then -(
+  list_max(list_transform(list_distinct(string_split(seq, '')),
+    lambda ch: length(seq) - length(replace(seq, ch, '')))) / length(seq)) end, 6) as dominance
+from designs"""
+
+ORACLE["plddt_reward"] = S.ctes(*_BASE) + """
+select pair_id, round(case when d < 0 then 0.5 * tanh(0.04 * d)
+  else d / 100 + 0.5 * tanh(0.04 * d) end, 6) as plddt_reward
+from (select pair_id, seqA_plddt - seqB_plddt as d from pairs) x"""
+
+ORACLE["design_total"] = S.ctes(*_DESIGN_CTES) + """
+select id, step, pos, generate_seq, valid, round(format_reward, 6) as format_reward,
+  round(mention_reward, 6) as mention_reward, round(design_reward, 6) as design_reward,
+  round(diversity_reward, 6) as diversity_reward,
+  round(repetition_penalty, 6) as repetition_penalty, round(total_reward, 6) as total_reward
+from scored"""
+
+ORACLE["ledger_last"] = S.ctes(*_DESIGN_CTES) + """
+select generate_seq, count(*) as n,
+  round(arg_max(design_reward, {'s': step, 'p': pos}), 6) as generate_seq_prob
+from scored group by generate_seq"""
+
+ORACLE["ledger_running_count"] = S.ctes(*_DESIGN_CTES) + """
+select id, generate_seq, prior_count, round(pen, 6) as repetition_penalty,
+  round(total_reward + 0.25 * 0.0 - 0.25 * pen, 6) as total_reward
+from (select *, floor(prior_count / 4) / (floor(prior_count / 4) + 4) as pen
+      from (select *, (count(*) over (partition by generate_seq order by step, pos
+              rows between unbounded preceding and 1 preceding))::BIGINT as prior_count
+            from scored) a) b"""
+
+ORACLE["composition_embeddings"] = S.ctes(("designs", S.DESIGNS)) + (
+    "select seq, " + S.vround(S.composition("seq")) + " as embedding "
+    "from (select distinct seq from designs where seq is not null and length(seq) > 0) d")
+
+ORACLE["new_sequences"] = S.ctes(*_DC, ("cycles", S.DESIGN_CYCLES)) + """
+select seq, """ + S.vround(S.composition("seq")) + """ as embedding from (
+  select distinct """ + _GEN + """ as seq from dc where """ + _VALID + """
+  except select generate_seq from cycles where cycle = 0) x
+where seq is not null and length(seq) > 0"""
+
+ORACLE["mean_pool"] = """
+with t as (select label as seq_key, vec_id, embedding,
+             min(vec_id) over (partition by label) as lo,
+             max(vec_id) over (partition by label) as hi from embeddings),
+x as (select seq_key, i, avg(embedding[i]::DOUBLE) as v from (
+        select seq_key, embedding, unnest(range(1, len(embedding) + 1)) as i
+        from t where vec_id > lo and vec_id < hi) a group by seq_key, i)
+select seq_key, list_transform(list(v order by i), lambda z: round(z, 6)) as embedding
+from x group by seq_key"""
+
+ORACLE["embedding_fingerprint"] = """
+select count(*) as n, (sum(('0x' || substr(md5(cast(vec_id as varchar) || ':' ||
+  array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000 + 0.5)::BIGINT),
+  ',')), 1, 15))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT as fingerprint
+from embeddings"""

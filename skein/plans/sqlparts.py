@@ -227,3 +227,46 @@ def vround(v: str) -> str:
 
 def ctes(*parts: tuple[str, str]) -> str:
     return "WITH " + ",\n".join(name + " AS (" + sql + ")" for name, sql in parts) + "\n"
+
+
+DESIGN_COMPLETIONS = """
+select g.id, case g.id%6
+  when 3 then '<think>Short.</think><answer> '||g.seq||' </answer>'
+  when 4 then '<think>Reasoning about '||r.seq||'</think> '||g.seq
+  when 5 then '<think>Trying an empty design for '||r.seq||'.</think> <answer></answer>'
+  else '<think>Design close to '||r.seq||' keeping '||substr(g.seq,1,3)||' motif.</think> <answer>'
+       ||g.seq||'</answer>' end as completion,
+  r.seq||'|'||substr(g.seq,1,3) as keywords, r.seq as candidate, r.plddt as candidate_plddt,
+  g.id // 8 as step, g.id % 8 as pos
+from designs g join designs r on r.id = (g.id*3+1) % (select count(*) from embeddings)
+"""
+
+
+def designed(c: str) -> tuple[str, str]:
+    blk = "regexp_extract_all(" + c + ", '(?is)<answer>(.*?)</answer>', 1)"
+    first = strip(blk + "[1]")
+    valid = ("(case when len(" + blk + ") = 0 then null else regexp_full_match(" + first
+             + ", '[" + RESIDUES + "]*') end)")
+    return "(case when " + valid + " then " + first + " end)", valid
+
+
+def composition(s: str) -> str:
+    letters = ", ".join("'" + a + "'" for a in RESIDUES)
+    return ("(case when length(" + s + ") > 0 then list_transform([" + letters + "], lambda a: "
+            "((length(" + s + ") - length(replace(" + s + ", a, ''))) / length(" + s
+            + "))::FLOAT) end)")
+
+
+def motif_repeats(s: str, widths=(2, 3, 4)) -> str:
+    parts = []
+    for w in widths:
+        m = ("list_transform(range(1, length(" + s + ") - " + str(w) + " + 2), lambda i: "
+             "substring(" + s + ", i, " + str(w) + "))")
+        cnt = "len(list_filter(" + m + ", lambda y: y = d))"
+        parts.append("coalesce(list_sum(list_transform(list_distinct(" + m + "), lambda d: "
+                     "case when " + cnt + " > 2 then " + cnt + " - 1 else 0 end)), 0)")
+    return "(" + " + ".join(parts) + ")"
+
+
+def sigmoid(x: str) -> str:
+    return "(1.0 / (1.0 + exp(-(" + x + "))))"
