@@ -299,3 +299,79 @@ def embedding_fingerprint(spark, sf):
     e = read_table_cols(spark, sf, "embeddings", F.col("vec_id").cast("string").alias("seq"),
                         "embedding")
     return FP.table_fingerprint(e)
+
+
+# ---- step 8: votes, reports, group advantage ----------------------------------
+
+from skein.operators import classifier as CL  # noqa: E402
+from skein.operators import metrics as ME  # noqa: E402
+from skein.operators import report as RP  # noqa: E402
+from skein.operators import votes as VO  # noqa: E402
+
+JUDGE_TARGET = "Mcl-1"
+
+
+def _answer_scored(spark, sf):
+    comp = fx.completions(spark, sf)
+    return answers.score_answers(comp, keep=["conv_id", "turn", "step", "pos", "completion",
+                                             "label"])
+
+
+@register("judge_votes")
+def judge_votes(spark, sf):
+    return round_doubles(VO.vote_shares(fx.judge_responses(spark, sf)))
+
+
+@register("judge_questions")
+def judge_questions(spark, sf):
+    return VO.judge_requests(fx.design_completions(spark, sf), JUDGE_TARGET, keep=["id"])
+
+
+@register("reward_report")
+def reward_report(spark, sf):
+    return round_doubles(RP.reward_report(_answer_scored(spark, sf), by=["step"]))
+
+
+@register("reward_trace")
+def reward_trace(spark, sf):
+    cols = ["step", "pos", "conv_id", "label", "format_reward", "mention_reward",
+            "answer_reward", "total_reward"]
+    return round_doubles(RP.reward_trace(_answer_scored(spark, sf), cols=cols))
+
+
+@register("group_advantage")
+def group_advantage(spark, sf):
+    out = RP.group_advantage(_answer_scored(spark, sf), ["conv_id"])
+    return round_doubles(out.select("conv_id", "turn", "total_reward", "group_size",
+                                    "advantage"))
+
+
+@register("best_of_group")
+def best_of_group(spark, sf):
+    return round_doubles(RP.best_of_group(_answer_scored(spark, sf), ["conv_id"]))
+
+
+# ---- step 9: evaluation and training ------------------------------------------
+
+def _doc_scores(spark, sf):
+    from skein.functions.text import word_count
+    from skein.sources.tables import read_table
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    lab = read_table(spark, sf, "labels").select("doc_id", "quality")
+    n = F.length("text")
+    score = F.when(n > 0, word_count("text") / n).otherwise(F.lit(0.0))
+    return docs.join(lab, "doc_id").select(F.col("quality").alias("label"),
+                                           score.alias("score"))
+
+
+@register("binary_metrics")
+def binary_metrics(spark, sf):
+    return round_doubles(ME.binary_metrics(_doc_scores(spark, sf)))
+
+
+@register("train_pair_classifier")
+def train_pair_classifier(spark, sf):
+    vec = VE.attach_pair_vectors(fx.pairs(spark, sf), fx.seq_vectors(spark, sf))
+    vec = vec.withColumn("label", PR.pair_label())
+    _, metrics = CL.train_and_evaluate(vec, "pair_id", 64, max_iter=50)
+    return round_doubles(metrics)

@@ -253,3 +253,83 @@ select count(*) as n, (sum(('0x' || substr(md5(cast(vec_id as varchar) || ':' ||
   array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000 + 0.5)::BIGINT),
   ',')), 1, 15))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT as fingerprint
 from embeddings"""
+
+
+# ---- steps 8-9 --------------------------------------------------------------
+
+_ANSWER_SCORED = """
+select *, """ + S.asymmetric("answer_reward") + """ as scaled_answer_reward,
+  0.5 * format_reward + 2.5 * """ + S.asymmetric("answer_reward") + """ + 0.5 * mention_reward
+  as total_reward
+from (select conv_id, turn, step, pos, completion, label, """ + _COMPOSITE + """ as format_reward,
+        """ + S.mention("completion", "keywords") + """ as mention_reward,
+        """ + _ANSWER + """ as answer_reward from completions) x"""
+_AS = S.ctes(("completions", S.COMPLETIONS), ("scored", _ANSWER_SCORED))
+
+ORACLE["judge_votes"] = S.ctes(("completions", S.COMPLETIONS)) + """
+select design_seq, ref_seq, count(*) as n_responses, sum(y)::BIGINT as n_yes,
+  round(avg(y), 6) as yes_fraction
+from (select cast(conv_id as varchar) as design_seq, """ + S.first_keyword("keywords") + """ as ref_seq,
+        coalesce(contains(lower(""" + S.strip(
+    "regexp_extract_all(completion, '(?s)<answer>(.*?)</answer>', 1)[1]") + """), 'yes'), false)::INT
+        as y
+      from completions) r
+group by design_seq, ref_seq"""
+
+ORACLE["judge_questions"] = S.ctes(*_DC) + """
+select id, design_seq, ref_seq,
+  'Based on the target sequence Mcl-1, is ' || design_seq || ' expected to exhibit a higher '
+  || 'probability of binding effectively compared to ' || ref_seq || '? Both peptides are '
+  || 'considered cyclic peptide binders derived for this target. The answer is either yes or no.'
+  as question
+from (select id, """ + _GEN + """ as design_seq, """ + S.first_keyword("keywords") + """ as ref_seq
+      from dc) x
+where design_seq is not null"""
+
+ORACLE["reward_report"] = _AS + """
+select step, count(*) as n, round(avg(total_reward), 6) as mean_total,
+  round(min(total_reward), 6) as min_total, round(max(total_reward), 6) as max_total,
+  round(stddev_samp(total_reward), 6) as std_total,
+  round(quantile_disc(total_reward, 0.5), 6) as median_total,
+  round(avg(format_reward), 6) as mean_format_reward,
+  round(avg(mention_reward), 6) as mean_mention_reward,
+  round(avg(answer_reward), 6) as mean_answer_reward
+from scored group by step"""
+
+ORACLE["reward_trace"] = _AS + """
+select step, pos, conv_id, label, round(format_reward, 6) as format_reward,
+  round(mention_reward, 6) as mention_reward, round(answer_reward, 6) as answer_reward,
+  round(total_reward, 6) as total_reward, """ + S.binary_answer("completion") + """ as answer,
+  substring(""" + S.think_text("completion") + """, 1, 100) as think_head
+from scored where step % 50 = 0"""
+
+ORACLE["group_advantage"] = _AS + """
+select conv_id, turn, round(total_reward, 6) as total_reward, group_size,
+  round(coalesce((total_reward - m) / (s + 0.0001), 0.0), 6) as advantage
+from scored join (select conv_id as g, avg(total_reward) as m, stddev_samp(total_reward) as s,
+                    count(*) as group_size from scored group by conv_id) st on st.g = conv_id"""
+
+ORACLE["best_of_group"] = _AS + """
+select conv_id, count(*) as n, arg_max(pos, {'v': total_reward, 'p': -pos}) as best_pos,
+  round(max(total_reward), 6) as best_value
+from scored group by conv_id"""
+
+ORACLE["binary_metrics"] = """
+with t as (select l.quality as label,
+             case when length(d.text) > 0 then """ + S.words("d.text") + """ / length(d.text)
+             else 0.0 end as score
+           from documents d join labels l on l.doc_id = d.doc_id),
+g as (select score, sum(label) as pos, sum(1 - label) as neg from t group by score),
+c as (select pos, neg, coalesce(sum(neg) over (order by score rows between unbounded preceding
+        and 1 preceding), 0) as below from g),
+a as (select sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) as auc from c),
+m as (select count(*) as n, sum(label)::BIGINT as n_pos,
+        avg(((score > 0.5)::INT = label)::INT) as accuracy,
+        avg(-(label * ln(least(greatest(score, 1e-15), 1 - 1e-15))
+              + (1 - label) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)))) as log_loss,
+        (sum((score > 0.5)::INT * label) / sum(label)
+         + sum((1 - (score > 0.5)::INT) * (1 - label)) / sum(1 - label)) / 2 as hard_auc
+      from t)
+select n, n_pos, round(accuracy, 6) as accuracy, round(log_loss, 6) as log_loss,
+  round(auc, 6) as auc, round(hard_auc, 6) as hard_auc
+from m, a"""
