@@ -64,7 +64,7 @@ def score_designs(df: DataFrame, scorer: PairScorer | None = None,
                   keep: Sequence[str] = (), text_col: str = "completion",
                   keywords: str = "keywords", reference: str = "candidate",
                   repetition: str = "as_coded", embeddings: DataFrame | None = None,
-                  embedder=E.ColumnEmbedder()) -> DataFrame:
+                  embedder=E.ColumnEmbedder(), inline_vectors: bool = False) -> DataFrame:
     """J09 end to end.  ``repetition``: ``as_coded`` (the reference stores the
     last reward, so the penalty is always 0) or ``running_count``."""
     t = F.col(text_col)
@@ -76,15 +76,24 @@ def score_designs(df: DataFrame, scorer: PairScorer | None = None,
         T.keyword_mention(t, keywords, design_mode=True).alias("mention_reward"),
         ds["seq"].alias("generate_seq"), ds["valid"].alias("valid"))
 
-    # Vectors for the distinct designs and references (cache first, J03 for misses).
-    seqs = rows.select(F.col("generate_seq").alias("seq")).unionByName(
-        rows.select(F.col(reference).alias("seq")))
-    vecs = E.embedding_lookup(seqs, "seq", embeddings, embedder)
     gated = in_gate("generate_seq")
-    # The vector side is derived, so its size is only known at run time:
-    # leave the join to AQE (broadcast when the shuffle shows it is small).
-    with_vec = attach_pair_vectors(rows, vecs, key_a=F.when(gated, F.col("generate_seq")),
-                                   key_b=F.when(gated, F.col(reference)), broadcast=False)
+    if inline_vectors:
+        # Row-local vectors from a column embedder (no join): the streaming path.
+        if not isinstance(embedder, E.ColumnEmbedder):
+            raise ValueError("inline_vectors needs a ColumnEmbedder")
+        va, vb = embedder.fn(F.col("generate_seq")), embedder.fn(F.col(reference))
+        present = va.isNotNull() & vb.isNotNull()
+        with_vec = rows.select("*", F.when(present, V.vsub(va, vb)).alias("features"),
+                               present.alias("has_vectors"))
+    else:
+        # Vectors for the distinct designs and references (cache first, J03 for
+        # misses).  The vector side is derived, so its size is only known at run
+        # time: leave the join to AQE (broadcast when the shuffle shows it small).
+        seqs = rows.select(F.col("generate_seq").alias("seq")).unionByName(
+            rows.select(F.col(reference).alias("seq")))
+        vecs = E.embedding_lookup(seqs, "seq", embeddings, embedder)
+        with_vec = attach_pair_vectors(rows, vecs, key_a=F.when(gated, F.col("generate_seq")),
+                                       key_b=F.when(gated, F.col(reference)), broadcast=False)
     if scorer is None:
         scorer = PairScorer.by_rule(20)
     design = F.when(gated & F.col("has_vectors"), scorer.probability(F.col("features")))

@@ -375,3 +375,28 @@ def train_pair_classifier(spark, sf):
     vec = vec.withColumn("label", PR.pair_label())
     _, metrics = CL.train_and_evaluate(vec, "pair_id", 64, max_iter=50)
     return round_doubles(metrics)
+
+
+# ---- step 10: streaming --------------------------------------------------------
+
+from skein.streaming import rewards as STR  # noqa: E402
+
+
+@register("stream_rewards")
+def stream_rewards(spark, sf):
+    return round_doubles(STR.stream_answer_scores(spark, sf))
+
+
+@register("stream_ledger")
+def stream_ledger(spark, sf):
+    return round_doubles(STR.stream_ledger(spark, sf))
+
+
+@register("stream_running_count")
+def stream_running_count(spark, sf):
+    return STR.stream_running_count(spark, sf)
+
+
+@register("stream_windowed_report")
+def stream_windowed_report(spark, sf):
+    return round_doubles(STR.stream_windowed_report(spark, sf))

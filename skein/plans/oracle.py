@@ -333,3 +333,19 @@ m as (select count(*) as n, sum(label)::BIGINT as n_pos,
 select n, n_pos, round(accuracy, 6) as accuracy, round(log_loss, 6) as log_loss,
   round(auc, 6) as auc, round(hard_auc, 6) as hard_auc
 from m, a"""
+
+
+# ---- step 10: streaming twins (the batch results) ----------------------------
+
+ORACLE["stream_rewards"] = ORACLE["answer_total"]
+ORACLE["stream_ledger"] = ORACLE["ledger_last"]
+
+ORACLE["stream_running_count"] = S.ctes(*_DESIGN_CTES) + """
+select id, generate_seq, (count(*) over (partition by generate_seq order by step, pos
+  rows between unbounded preceding and 1 preceding))::BIGINT as prior_count
+from scored"""
+
+ORACLE["stream_windowed_report"] = """
+select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end,
+  event_type, count(*) as n, round(sum(value), 6) as total_value, round(avg(value), 6) as mean_value
+from events group by all"""

@@ -37,8 +37,12 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     Variant ``v`` picks the tag layout (well-formed, adjacent tags, mixed-case
     tag, no tags, nested, four thinks, reversed, too long, unclosed).
     """
-    conv = (read_table(spark, sf_dir, "conversations")
-            .filter(col("role") == "assistant")
+    return completions_from(read_table(spark, sf_dir, "conversations"))
+
+
+def completions_from(conversations: DataFrame) -> DataFrame:
+    """The completions recipe over any ``conversations`` frame (batch or stream)."""
+    conv = (conversations.filter(col("role") == "assistant")
             .select("conv_id", "turn", "text"))
     t = col("text")
     a = (col("conv_id") + col("turn")) % 4
@@ -79,7 +83,12 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Designed peptides: lengths 4–17 (both sides of the 5..15 gate),
     low-complexity repeats and invalid lower-case sequences; pLDDT from label."""
-    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return designs_from(read_table(spark, sf_dir, "embeddings"))
+
+
+def designs_from(embeddings: DataFrame) -> DataFrame:
+    """The designs recipe over any ``embeddings`` frame (batch or stream)."""
+    e = embeddings.select("vec_id", "label")
     n = 4 + col("vec_id") % 14
     s = F.translate(F.substring(F.md5(col("vec_id").cast("string")), F.lit(1), n.cast("int")),
                     HEX_DIGITS, HEX_TO_RESIDUE)
@@ -104,10 +113,6 @@ def seq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("seq").agg(F.min_by("embedding", "id").alias("embedding")))
 
 
-def table_count(df: DataFrame) -> int:
-    return df.count()
-
-
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs: design ``id`` against design ``(7 id + 3) mod n``."""
     d = designs(spark, sf_dir)
@@ -173,13 +178,19 @@ def design_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         col("seq").alias("candidate"), col("plddt").alias("candidate_plddt"))
 
 
-def design_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def design_completions(spark: SparkSession, sf_dir: str,
+                       generated: DataFrame | None = None) -> DataFrame:
     """Design-mode completions: design ``id`` answers against reference
     design ``(3 id + 1) mod n``.  Variants: well-formed, adjacent tags with
-    padded answer, no answer block, empty answer block."""
+    padded answer, no answer block, empty answer block.
+
+    ``generated`` (an ``embeddings`` frame, e.g. a stream) supplies the
+    generating side; the reference side is the static table.
+    """
     d = designs(spark, sf_dir)
     n = read_table(spark, sf_dir, "embeddings").count()
-    gen = d.select("id", col("seq").alias("gen"),
+    g = d if generated is None else designs_from(generated)
+    gen = g.select("id", col("seq").alias("gen"),
                    ((col("id") * 3 + 1) % n).alias("ref_id"))
     ref = d.select(col("id").alias("ref_id"), col("seq").alias("candidate"),
                    col("plddt").alias("candidate_plddt"))
