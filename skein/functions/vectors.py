@@ -6,10 +6,14 @@ enter as literal arrays whose size is the model's, not the data's.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from skein.functions.text import RESIDUES
 
@@ -74,28 +78,46 @@ def composition(seq, alphabet: str = RESIDUES) -> Column:
     return F.when(n > 0, shares)
 
 
-def motif_repeats_short(seq, widths=(2, 3, 4)) -> Column:
-    """A3 row-local: Σ over widths of Σ(c-1) for motifs seen more than twice.
+def _motifs(s: Column, w: int) -> Column:
+    n = F.length(s)
+    starts = F.when(n >= w, F.sequence(F.lit(1), n - w + 1)).otherwise(
+        F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(s, i, w))
+
+
+def _repeat_excess(sorted_motifs: Column) -> Column:
+    """Σ(c - 1) over runs of equal motifs longer than two, on a sorted array."""
+    def extra(run):
+        return F.when(run > 2, run - 1).otherwise(F.lit(0)).cast("long")
+
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"),
+                    F.lit(0).cast("long").alias("total"))
+    return F.aggregate(
+        sorted_motifs, init,
+        lambda st, m: F.when(m == st["prev"], F.struct(
+            st["prev"].alias("prev"), (st["run"] + 1).alias("run"), st["total"].alias("total")))
+        .otherwise(F.struct(m.alias("prev"), F.lit(1).alias("run"),
+                            (st["total"] + extra(st["run"])).alias("total"))),
+        lambda st: st["total"] + extra(st["run"]))
+
+
+def motif_repeats(seq, widths=(2, 3, 4)) -> Column:
+    """A3: Σ over widths of Σ(c-1) for sliding motifs seen more than twice.
 
-    Quadratic in the number of distinct motifs; meant for short designs
-    (the long-text path is the explode/groupBy job in operators.designs).
+    Row-local and O(L log L): the motifs of each width are sorted and equal
+    runs counted in one pass — no explode, no shuffle.  (The distributed
+    path for very long texts is ``operators.designs.motif_repeats_long``.)
     """
     s = _c(seq)
-    n = F.length(s)
-    total = F.lit(0)
+    total = F.lit(0).cast("long")
     for w in widths:
-        starts = F.when(n >= w, F.sequence(F.lit(1), n - w + 1)).otherwise(
-            F.array().cast("array<int>"))
-        motifs = F.transform(starts, lambda i: F.substring(s, i, w))
-        extra = F.aggregate(
-            F.array_distinct(motifs), F.lit(0),
-            lambda acc, m: acc + F.greatest(
-                F.size(F.filter(motifs, lambda y: y == m)) - 1, F.lit(0))
-            * (F.size(F.filter(motifs, lambda y: y == m)) > 2).cast("int"))
-        total = total + extra
+        total = total + _repeat_excess(F.array_sort(_motifs(s, w)))
     return F.when(s.isNotNull(), total)
 
 
+motif_repeats_short = motif_repeats
+
+
 def residue_dominance(seq) -> Column:
     """A4: -(count of the most frequent character / length); empty → null."""
     s = _c(seq)
@@ -103,3 +125,31 @@ def residue_dominance(seq) -> Column:
     chars = F.array_distinct(F.split(s, ""))
     top = F.array_max(F.transform(chars, lambda c: n - F.length(F.replace(s, c, F.lit("")))))
     return F.when(n > 0, -(top / n))
+
+
+def _repeats_of(text: str, widths) -> int:
+    """Σ(c-1) over motifs with c > 2 for one text (numpy, code points)."""
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    total = 0
+    for w in widths:
+        n = len(cp) - w + 1
+        if n <= 0:
+            continue
+        bits = 64 // w
+        if w * 21 > 64 and n and int(cp.max()) >= (1 << bits):
+            counts = np.array(list(Counter(text[i:i + w] for i in range(n)).values()))
+        else:
+            code = np.zeros(n, dtype=np.uint64)
+            for j in range(w):
+                code = (code << np.uint64(bits)) | cp[j:j + n]
+            counts = np.unique(code, return_counts=True)[1]
+        total += int((counts[counts > 2] - 1).sum())
+    return total
+
+
+@F.pandas_udf(LongType())
+def motif_repeats_text(texts: pd.Series) -> pd.Series:
+    """A3 for long texts over Arrow batches: motifs of widths 2–4 packed into
+    integer codes and counted with ``np.unique`` (row-local, no shuffle)."""
+    return pd.Series([None if t is None else _repeats_of(t, (2, 3, 4)) for t in texts],
+                     dtype="Int64")

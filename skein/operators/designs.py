@@ -38,13 +38,11 @@ def in_gate(seq) -> F.Column:
     return s.isNotNull() & F.length(s).between(MIN_LEN, MAX_LEN)
 
 
-def motif_repeats_long(df: DataFrame, key: Sequence[str], text: str,
-                       widths: Sequence[int] = MOTIF_WIDTHS) -> DataFrame:
-    """A3 for long texts: explode motifs → count per (key, width, motif) →
-    Σ(c-1) over c > 2 per key.  Both aggregations combine map-side, so one
-    huge text is spread over motif groups.  Keys with no repeats get 0."""
-    key = [key] if isinstance(key, str) else list(key)
-    base = df.select(*key, text)
+LOCAL_MOTIF_CHARS = 1_000_000  # longer texts take the distributed path
+
+
+def _motif_repeats_exploded(base: DataFrame, key: list[str], text: str,
+                            widths: Sequence[int]) -> DataFrame:
     w = F.explode(F.array(*[F.lit(x) for x in widths])).alias("_w")
     starts = base.select(*key, text, w).select(
         *key, "_w", text,
@@ -60,6 +58,27 @@ def motif_repeats_long(df: DataFrame, key: Sequence[str], text: str,
             .select(*key, F.coalesce("repeats", F.lit(0)).cast("long").alias("repeats")))
 
 
+def motif_repeats_long(df: DataFrame, key: Sequence[str], text: str,
+                       widths: Sequence[int] = MOTIF_WIDTHS,
+                       max_local_chars: int = LOCAL_MOTIF_CHARS) -> DataFrame:
+    """A3 over texts of any length, one row per key with ``repeats``.
+
+    Texts up to ``max_local_chars`` are counted row-locally (an Arrow-batched
+    numpy counter: no shuffle).  Longer ones are exploded into motif rows,
+    counted per (key, width, motif) and summed per key — both aggregations
+    combine map-side, so one enormous text is spread over many tasks.
+    """
+    if tuple(widths) != MOTIF_WIDTHS:
+        raise ValueError("the row-local counter is built for widths 2, 3, 4")
+    key = [key] if isinstance(key, str) else list(key)
+    base = df.select(*key, text)
+    size = F.coalesce(F.length(text), F.lit(0))
+    local = base.filter(size <= max_local_chars).select(
+        *key, V.motif_repeats_text(F.col(text)).alias("repeats"))
+    big = _motif_repeats_exploded(base.filter(size > max_local_chars), key, text, widths)
+    return local.unionByName(big)
+
+
 def score_designs(df: DataFrame, scorer: PairScorer | None = None,
                   keep: Sequence[str] = (), text_col: str = "completion",
                   keywords: str = "keywords", reference: str = "candidate",
@@ -97,7 +116,7 @@ def score_designs(df: DataFrame, scorer: PairScorer | None = None,
     if scorer is None:
         scorer = PairScorer.by_rule(20)
     design = F.when(gated & F.col("has_vectors"), scorer.probability(F.col("features")))
-    diversity = N.diversity_squash(V.motif_repeats_short("generate_seq"))
+    diversity = N.diversity_squash(V.motif_repeats("generate_seq"))
     scored = with_vec.select(
         *cols, "format_reward", "mention_reward", "generate_seq", "valid",
         F.coalesce(design, F.lit(0.0)).alias("design_reward"),

@@ -23,10 +23,8 @@ def _clip(p):
     return F.least(F.greatest(p, F.lit(CLIP)), F.lit(1 - CLIP))
 
 
-def exact_auc(df: DataFrame, label: str = "label", score: str = "score",
-              ranges: int = AUC_RANGES) -> float | None:
-    g = df.groupBy(score).agg(F.sum(F.col(label)).alias("_pos"),
-                              F.sum(1 - F.col(label)).alias("_neg"))
+def _auc_from_groups(g: DataFrame, score: str, ranges: int) -> float | None:
+    """AUC from ``(score, _pos, _neg)`` groups, one row per distinct score."""
     cuts = g.approxQuantile(score, [i / ranges for i in range(1, ranges)], 0.001)
     splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
     g = Bucketizer(splits=splits, inputCol=score, outputCol="_r",
@@ -49,24 +47,50 @@ def exact_auc(df: DataFrame, label: str = "label", score: str = "score",
     return float(total) / (n_pos * n_neg)
 
 
+def _score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
+    return (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+            .groupBy(score).agg(F.sum(F.col(label)).alias("_pos"),
+                                F.sum(1 - F.col(label)).alias("_neg")))
+
+
+def exact_auc(df: DataFrame, label: str = "label", score: str = "score",
+              ranges: int = AUC_RANGES) -> float | None:
+    return _auc_from_groups(_score_groups(df, label, score), score, ranges)
+
+
+METRICS_SCHEMA = ("n long, n_pos long, accuracy double, log_loss double, auc double, "
+                  "hard_auc double")
+
+
 def binary_metrics(df: DataFrame, label: str = "label", score: str = "score",
-                   threshold: float = THRESHOLD) -> DataFrame:
+                   threshold: float = THRESHOLD, ranges: int = AUC_RANGES) -> DataFrame:
     """One row: n, n_pos, accuracy, log_loss, auc, hard_auc.
 
     ``score`` is a probability; the log-loss clips it to [1e-15, 1-1e-15].
     ``hard_auc`` is the AUC of the thresholded prediction, (TPR + TNR) / 2.
+    The input is read once: everything derives from the per-score
+    (positives, negatives) groups, which are persisted for the few small
+    jobs that follow.  Rows with a null label or score are left out.
     """
-    y = F.col(label)
-    p = F.col(score)
-    pred = (p > threshold).cast("int")
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(y).alias("n_pos"),
-        F.avg((pred == y).cast("int")).alias("accuracy"),
-        F.avg(-(y * F.log(_clip(p)) + (1 - y) * F.log(1 - _clip(p)))).alias("log_loss"),
-        (F.sum(pred * y) / F.sum(y)).alias("_tpr"),
-        (F.sum((1 - pred) * (1 - y)) / F.sum(1 - y)).alias("_tnr"))
-    auc = exact_auc(df, label, score)
-    return row.select("n", F.col("n_pos").cast("long").alias("n_pos"), "accuracy", "log_loss",
-                      F.lit(auc).cast("double").alias("auc"),
-                      ((F.col("_tpr") + F.col("_tnr")) / 2).alias("hard_auc"))
+    g = _score_groups(df, label, score).persist()
+    try:
+        s = F.col(score)
+        p = _clip(s)
+        above = s > threshold
+        row = g.agg(
+            F.sum(F.col("_pos") + F.col("_neg")).alias("n"),
+            F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
+            F.sum(F.when(above, F.col("_pos")).otherwise(F.col("_neg"))).alias("correct"),
+            F.sum(-(F.col("_pos") * F.log(p) + F.col("_neg") * F.log(1 - p))).alias("ll"),
+            F.sum(F.when(above, F.col("_pos")).otherwise(0)).alias("tp"),
+            F.sum(F.when(~above, F.col("_neg")).otherwise(0)).alias("tn")).head()
+        auc = _auc_from_groups(g, score, ranges)
+    finally:
+        g.unpersist()
+    n, n_pos, n_neg = row["n"] or 0, row["n_pos"] or 0, row["n_neg"] or 0
+    out = (int(n), int(n_pos),
+           row["correct"] / n if n else None,
+           row["ll"] / n if n else None,
+           auc,
+           (row["tp"] / n_pos + row["tn"] / n_neg) / 2 if n_pos and n_neg else None)
+    return df.sparkSession.createDataFrame([out], METRICS_SCHEMA)

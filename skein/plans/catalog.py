@@ -230,7 +230,7 @@ def designed_sequences(spark, sf):
 @register("motif_repetition")
 def motif_repetition(spark, sf):
     d = fx.designs(spark, sf)
-    r = FV.motif_repeats_short("seq")
+    r = FV.motif_repeats("seq")
     return round_doubles(d.select("id", r.cast("long").alias("repeats"),
                                   NU.diversity_squash(r).alias("diversity_reward")))
 
@@ -373,7 +373,7 @@ def binary_metrics(spark, sf):
 def train_pair_classifier(spark, sf):
     vec = VE.attach_pair_vectors(fx.pairs(spark, sf), fx.seq_vectors(spark, sf))
     vec = vec.withColumn("label", PR.pair_label())
-    _, metrics = CL.train_and_evaluate(vec, "pair_id", 64, max_iter=50)
+    _, metrics = CL.train_and_evaluate(vec, "pair_id", 64)
     return round_doubles(metrics)
 
 
