@@ -25,10 +25,14 @@ def _clip(p):
 
 def _auc_from_groups(g: DataFrame, score: str, ranges: int) -> float | None:
     """AUC from ``(score, _pos, _neg)`` groups, one row per distinct score."""
-    cuts = g.approxQuantile(score, [i / ranges for i in range(1, ranges)], 0.001)
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = g.approxQuantile(score, probs, 0.001) if probs else []
     splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
-    g = Bucketizer(splits=splits, inputCol=score, outputCol="_r",
-                   handleInvalid="keep").transform(g)
+    if len(splits) < 3:
+        g = g.withColumn("_r", F.lit(0.0))
+    else:
+        g = Bucketizer(splits=splits, inputCol=score, outputCol="_r",
+                       handleInvalid="keep").transform(g)
     totals = {int(r["_r"]): (r["p"], r["n"]) for r in
               g.groupBy("_r").agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n")).collect()}
     n_pos = sum(v[0] for v in totals.values())
