@@ -39,3 +39,15 @@ def score_answers(df: DataFrame, keep: Sequence[str] = (), text_col: str = "comp
 def binary_answers(df: DataFrame, keep: Sequence[str] = (),
                    text_col: str = "completion") -> DataFrame:
     return df.select(*keep, T.binary_answer(F.col(text_col)).alias("answer"))
+
+
+def attach_prompts(completions: DataFrame, prompts: DataFrame, key: str,
+                   check_unique: bool = True) -> DataFrame:
+    """JN10: give each completion its prompt's columns (many completions per
+    prompt).  An equi-join on the prompt key — the reference zips parallel
+    lists positionally; here the key makes the pairing explicit.  A duplicate
+    prompt key would fan rows out, so it is checked first."""
+    if check_unique:
+        from skein.operators.guards import require_unique
+        require_unique(prompts, [key])
+    return completions.join(prompts, key, "inner")

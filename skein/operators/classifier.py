@@ -69,3 +69,13 @@ def train_and_evaluate(with_vectors: DataFrame, key: str, input_dim: int,
     model = fit_pair_classifier(table.filter(F.col("split") == "train"), input_dim,
                                 max_iter=max_iter, seed=seed)
     return model, evaluate(model, table)
+
+
+def save_model(model, path: str) -> None:
+    """Spark ML persistence (overwrite)."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+    return MultilayerPerceptronClassificationModel.load(path)

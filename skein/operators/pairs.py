@@ -100,3 +100,12 @@ def cycle_pairs(cycles: DataFrame, resolve: str = "error", partners: int = PARTN
 
 __all__ = ["DuplicateKeyError", "cycle_pairs", "dedupe_cycles", "dense_index", "pair_label",
            "resolve_scores", "sample_partners"]
+
+
+def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Persist the pair table (parquet; CSV with a header on request)."""
+    writer = pairs.write.mode("overwrite")
+    if fmt == "csv":
+        writer.option("header", True).csv(path)
+    else:
+        writer.parquet(path)

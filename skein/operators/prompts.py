@@ -91,3 +91,33 @@ def cycle_prompts(df: DataFrame, balance: bool = True) -> DataFrame:
     """
     reps = F.array(F.lit(0), F.lit(1)) if balance else F.array(F.lit(0))
     return df.select(F.explode(reps).alias("replica"), "*")
+
+
+def with_reasoning_suffix(system="system_prompt", suffix: str = REASONING_SUFFIX):
+    """The system prompt with the step-by-step suffix (scoring copy only;
+    the emitted prompt keeps the plain system prompt)."""
+    s = F.col(system) if isinstance(system, str) else system
+    return F.concat(s, F.lit(suffix))
+
+
+DESIGN_EXAMPLE_COLUMNS = ("prompt", "keywords", "task", "system_prompt", "user_prompt",
+                          "candidate_plddt", "candidate")
+
+
+def design_examples(df: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
+    """Design-mode training examples (prompt text + prompt columns)."""
+    return df.select(
+        *[c for c in df.columns if c not in DESIGN_EXAMPLE_COLUMNS],
+        template.render(chat_messages()).alias("prompt"),
+        *[c for c in DESIGN_EXAMPLE_COLUMNS if c != "prompt"])
+
+
+def write_examples(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Emit the training examples (parquet or JSON lines)."""
+    writer = df.write.mode("overwrite")
+    if fmt == "json":
+        writer.json(path)
+    elif fmt == "parquet":
+        writer.parquet(path)
+    else:
+        raise ValueError("fmt must be 'parquet' or 'json'")

@@ -62,6 +62,34 @@ class PairScorer:
                 w2[r["i"]] = r["w"]
         return cls(w1, b1, w2, b2)
 
+    def to_table(self, spark) -> DataFrame:
+        """Rows ``(layer, j, i, w)``; ``i = -1`` holds a bias."""
+        rows = [(1, j, i, float(w)) for j, r in enumerate(self.w1) for i, w in enumerate(r)]
+        rows += [(1, j, -1, float(b)) for j, b in enumerate(self.b1)]
+        rows += [(2, 0, i, float(w)) for i, w in enumerate(self.w2)] + [(2, 0, -1, float(self.b2))]
+        return spark.createDataFrame(rows, "layer int, j int, i int, w double")
+
+    def batch_udf(self, batch_size: int = 4096):
+        """Scorer plug-in for large inputs: an Arrow-batched numpy forward pass
+        (``predict_batch_udf``); the weights are loaded once per worker."""
+        from pyspark.ml.functions import predict_batch_udf
+        from pyspark.sql.types import DoubleType
+        w1, b1, w2, b2 = self.w1, self.b1, self.w2, self.b2
+        dim = self.input_dim
+
+        def make_predict_fn():
+            import numpy as np
+            a1, c1 = np.asarray(w1, dtype=np.float64), np.asarray(b1, dtype=np.float64)
+            a2 = np.asarray(w2, dtype=np.float64)
+
+            def predict(x):
+                h = np.maximum(x.astype(np.float64) @ a1.T + c1, 0.0)
+                return 1.0 / (1.0 + np.exp(-(h @ a2 + b2)))
+            return predict
+
+        return predict_batch_udf(make_predict_fn, return_type=DoubleType(),
+                                 batch_size=batch_size, input_tensor_shapes=[[dim]])
+
     def logit(self, x) -> Column:
         return V.mlp_logit(x, self.w1, self.b1, self.w2, self.b2)
 

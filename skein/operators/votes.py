@@ -56,3 +56,8 @@ def vote_shares(responses: DataFrame, design="design_seq", ref="ref_seq",
         F.count(F.lit(1)).alias("n_responses"),
         F.sum(yes).alias("n_yes"),
         F.avg(yes).alias("yes_fraction"))
+
+
+def append_responses(responses: DataFrame, path: str) -> None:
+    """Append a batch of judge responses (one row per response)."""
+    responses.select("design_seq", "ref_seq", "answers").write.mode("append").parquet(path)

@@ -400,3 +400,8 @@ def stream_running_count(spark, sf):
 @register("stream_windowed_report")
 def stream_windowed_report(spark, sf):
     return round_doubles(STR.stream_windowed_report(spark, sf))
+
+
+@register("design_examples")
+def design_examples(spark, sf):
+    return round_doubles(PM.design_examples(fx.design_prompts(spark, sf)))

@@ -349,3 +349,8 @@ ORACLE["stream_windowed_report"] = """
 select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end,
   event_type, count(*) as n, round(sum(value), 6) as total_value, round(avg(value), 6) as mean_value
 from events group by all"""
+
+ORACLE["design_examples"] = S.ctes(("designs", S.DESIGNS), ("dp", S.DESIGN_PROMPTS)) + """
+select prompt_id, """ + S.prompt_text("system_prompt", "user_prompt") + """ as prompt, keywords,
+  task, system_prompt, user_prompt, round(candidate_plddt, 6) as candidate_plddt, candidate
+from dp"""

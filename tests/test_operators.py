@@ -138,3 +138,50 @@ def test_group_advantage_skewed_group(spark):
         F.avg("advantage").alias("a"), F.max("group_size").alias("n")).orderBy("g").collect()
     assert out[0]["n"] == 3000 and abs(out[0]["a"]) < 1e-9
     assert out[1]["n"] == 1 and out[1]["a"] == 0.0
+
+
+def test_batch_scorer_matches_column_scorer(spark):
+    from pyspark.ml.functions import array_to_vector  # noqa: F401
+    from skein.operators.scoring import PairScorer
+    rnd = random.Random(5)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, x array<double>")
+    sc = PairScorer.by_rule(8, hidden=4)
+    col = {r[0]: r[1] for r in df.select("i", sc.probability(F.col("x"))).collect()}
+    udf = sc.batch_udf(batch_size=64)
+    bat = {r[0]: r[1] for r in df.select("i", udf("x")).collect()}
+    assert all(abs(col[k] - bat[k]) < 1e-12 for k in col)
+    again = PairScorer.from_table(sc.to_table(spark))
+    assert again == PairScorer(*[list(map(list, sc.w1)), list(sc.b1), list(sc.w2), sc.b2])
+
+
+def test_attach_prompts_checks_keys(spark):
+    from skein.operators.answers import attach_prompts
+    comp = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "pid int, completion string")
+    prompts = spark.createDataFrame([(1, "no|yes"), (2, "no|yes")], "pid int, classes string")
+    assert attach_prompts(comp, prompts, "pid").count() == 3
+    dup = prompts.unionByName(prompts)
+    with pytest.raises(DuplicateKeyError):
+        attach_prompts(comp, dup, "pid")
+
+
+def test_model_save_load_and_examples(spark, tmpdir_path):
+    from skein.operators import classifier as CL
+    from skein.operators import prompts as PM
+    rnd = random.Random(1)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, features array<double>").withColumn(
+        "label", (F.col("features")[0] > 0).cast("int"))
+    model, metrics = CL.train_and_evaluate(df, "k", 4, max_iter=20)
+    assert {r["split"] for r in metrics.collect()} == {"train", "validation"}
+    path = os.path.join(tmpdir_path, "model")
+    CL.save_model(model, path)
+    assert CL.load_model(path).numFeatures == 4
+    ex = PM.design_examples(fx_design_prompts(spark))
+    PM.write_examples(ex, os.path.join(tmpdir_path, "ex"), fmt="json")
+    assert spark.read.json(os.path.join(tmpdir_path, "ex")).count() == ex.count()
+
+
+def fx_design_prompts(spark):
+    from skein.sources import fixtures
+    return fixtures.design_prompts(spark, SF_SMALL)
