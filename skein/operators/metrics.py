@@ -23,32 +23,53 @@ def _clip(p):
     return F.least(F.greatest(p, F.lit(CLIP)), F.lit(1 - CLIP))
 
 
-def _auc_from_groups(g: DataFrame, score: str, ranges: int) -> float | None:
-    """AUC from ``(score, _pos, _neg)`` groups, one row per distinct score."""
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = g.approxQuantile(score, probs, 0.001) if probs else []
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
+SCORES_PER_RANGE = 1_000_000  # distinct scores ranked inside one window task
+MAX_RANGES = 65_536
+
+
+def _probs(ranges: int) -> list[float]:
+    return [i / ranges for i in range(1, ranges)]
+
+
+def _ranges_for(n_groups: int) -> int:
+    return min(MAX_RANGES, max(AUC_RANGES, n_groups // SCORES_PER_RANGE + 1))
+
+
+def _cut_points(g: DataFrame, score: str, ranges: int) -> list[float]:
+    probs = _probs(ranges)
+    return (g.agg(F.percentile_approx(score, probs, 10000)).head()[0] or []) if probs else []
+
+
+def _auc_from_cuts(g: DataFrame, score: str, cuts: list[float]) -> float | None:
+    """AUC from ``(score, _pos, _neg)`` groups (one row per distinct score).
+
+    One job: inside each score range a window (partitioned by the range)
+    counts the negatives below each score; per range we keep positives,
+    negatives and the local credit.  The driver then adds, per range, the
+    negatives of all lower ranges — a bounded list (≤ 65 536 ranges).
+    """
+    splits = [float("-inf")] + sorted(set(c for c in cuts if c is not None)) + [float("inf")]
     if len(splits) < 3:
         g = g.withColumn("_r", F.lit(0.0))
     else:
         g = Bucketizer(splits=splits, inputCol=score, outputCol="_r",
                        handleInvalid="keep").transform(g)
-    totals = {int(r["_r"]): (r["p"], r["n"]) for r in
-              g.groupBy("_r").agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n")).collect()}
-    n_pos = sum(v[0] for v in totals.values())
-    n_neg = sum(v[1] for v in totals.values())
+    w = Window.partitionBy("_r").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    local = g.select("_r", "_pos", "_neg",
+                     F.coalesce(F.sum("_neg").over(w), F.lit(0)).alias("_below"))
+    per_range = sorted(
+        (r["_r"], r["p"], r["n"], r["c"]) for r in local.groupBy("_r").agg(
+            F.sum("_pos").alias("p"), F.sum("_neg").alias("n"),
+            F.sum(F.col("_pos") * (F.col("_below") + 0.5 * F.col("_neg"))).alias("c")).collect())
+    n_pos = sum(p for _, p, _, _ in per_range)
+    n_neg = sum(n for _, _, n, _ in per_range)
     if not n_pos or not n_neg:
         return None
-    offsets, run = [], 0
-    for r in range(len(splits)):
-        offsets.append(run)
-        run += totals.get(r, (0, 0))[1]
-    w = Window.partitionBy("_r").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = (F.element_at(F.lit(offsets), F.col("_r").cast("int") + 1)
-             + F.coalesce(F.sum("_neg").over(w), F.lit(0)))
-    credit = g.select((F.col("_pos") * (below + 0.5 * F.col("_neg"))).alias("c"))
-    total = credit.agg(F.sum("c")).head()[0]
-    return float(total) / (n_pos * n_neg)
+    credit, neg_before = 0.0, 0
+    for _, p, n, c in per_range:
+        credit += c + p * neg_before
+        neg_before += n
+    return credit / (n_pos * n_neg)
 
 
 def _score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -58,8 +79,11 @@ def _score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def exact_auc(df: DataFrame, label: str = "label", score: str = "score",
-              ranges: int = AUC_RANGES) -> float | None:
-    return _auc_from_groups(_score_groups(df, label, score), score, ranges)
+              ranges: int | None = None) -> float | None:
+    g = _score_groups(df, label, score)
+    if ranges is None:
+        ranges = _ranges_for(g.count())
+    return _auc_from_cuts(g, score, _cut_points(g, score, ranges))
 
 
 METRICS_SCHEMA = ("n long, n_pos long, accuracy double, log_loss double, auc double, "
@@ -67,7 +91,7 @@ METRICS_SCHEMA = ("n long, n_pos long, accuracy double, log_loss double, auc dou
 
 
 def binary_metrics(df: DataFrame, label: str = "label", score: str = "score",
-                   threshold: float = THRESHOLD, ranges: int = AUC_RANGES) -> DataFrame:
+                   threshold: float = THRESHOLD, ranges: int | None = None) -> DataFrame:
     """One row: n, n_pos, accuracy, log_loss, auc, hard_auc.
 
     ``score`` is a probability; the log-loss clips it to [1e-15, 1-1e-15].
@@ -81,14 +105,20 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "score",
         s = F.col(score)
         p = _clip(s)
         above = s > threshold
+        fixed = ranges or AUC_RANGES
         row = g.agg(
+            F.count(F.lit(1)).alias("groups"),
+            F.percentile_approx(s, _probs(fixed), 10000).alias("cuts"),
             F.sum(F.col("_pos") + F.col("_neg")).alias("n"),
             F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"),
             F.sum(F.when(above, F.col("_pos")).otherwise(F.col("_neg"))).alias("correct"),
             F.sum(-(F.col("_pos") * F.log(p) + F.col("_neg") * F.log(1 - p))).alias("ll"),
             F.sum(F.when(above, F.col("_pos")).otherwise(0)).alias("tp"),
             F.sum(F.when(~above, F.col("_neg")).otherwise(0)).alias("tn")).head()
-        auc = _auc_from_groups(g, score, ranges)
+        cuts = row["cuts"] or []
+        if ranges is None and _ranges_for(row["groups"]) != fixed:
+            cuts = _cut_points(g, score, _ranges_for(row["groups"]))
+        auc = _auc_from_cuts(g, score, cuts)
     finally:
         g.unpersist()
     n, n_pos, n_neg = row["n"] or 0, row["n_pos"] or 0, row["n_neg"] or 0

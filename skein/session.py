@@ -14,6 +14,12 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # Target post-shuffle partition size; AQE coalesces small partitions up to it.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # Streaming state (the ledger grows with distinct sequences) lives in
+    # RocksDB, off the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
