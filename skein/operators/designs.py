@@ -83,7 +83,8 @@ def score_designs(df: DataFrame, scorer: PairScorer | None = None,
                   keep: Sequence[str] = (), text_col: str = "completion",
                   keywords: str = "keywords", reference: str = "candidate",
                   repetition: str = "as_coded", embeddings: DataFrame | None = None,
-                  embedder=E.ColumnEmbedder(), inline_vectors: bool = False) -> DataFrame:
+                  embedder=E.ColumnEmbedder(), inline_vectors: bool = False,
+                  engine: str = "batch") -> DataFrame:
     """J09 end to end.  ``repetition``: ``as_coded`` (the reference stores the
     last reward, so the penalty is always 0) or ``running_count``."""
     t = F.col(text_col)
@@ -115,7 +116,7 @@ def score_designs(df: DataFrame, scorer: PairScorer | None = None,
                                        key_b=F.when(gated, F.col(reference)), broadcast=False)
     if scorer is None:
         scorer = PairScorer.by_rule(20)
-    design = F.when(gated & F.col("has_vectors"), scorer.probability(F.col("features")))
+    design = F.when(gated & F.col("has_vectors"), scorer.probability(F.col("features"), engine))
     diversity = N.diversity_squash(V.motif_repeats("generate_seq"))
     scored = with_vec.select(
         *cols, "format_reward", "mention_reward", "generate_seq", "valid",

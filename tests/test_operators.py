@@ -147,7 +147,7 @@ def test_batch_scorer_matches_column_scorer(spark):
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
     df = spark.createDataFrame(rows, "i int, x array<double>")
     sc = PairScorer.by_rule(8, hidden=4)
-    col = {r[0]: r[1] for r in df.select("i", sc.probability(F.col("x"))).collect()}
+    col = {r[0]: r[1] for r in df.select("i", sc.probability_expr(F.col("x"))).collect()}
     udf = sc.batch_udf(batch_size=64)
     bat = {r[0]: r[1] for r in df.select("i", udf("x")).collect()}
     assert all(abs(col[k] - bat[k]) < 1e-12 for k in col)
