@@ -32,6 +32,25 @@ def vector_row_bytes(df: DataFrame, vec_col: str, key_bytes: int = 48) -> int:
     return key_bytes + 4 * dim + 16
 
 
+def vectors_fit_broadcast(df: DataFrame, vec_col: str, key_bytes: int = 48,
+                          budget: int = BROADCAST_BYTES) -> bool:
+    """One bounded probe job: count the rows (stopping past the most that
+    could fit) and the widest vector; true when rows × row width is within
+    the budget."""
+    min_row = key_bytes + 16
+    cap = budget // min_row
+    probe = (df.select(F.size(vec_col).alias("d")).limit(cap + 1)
+             .agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).head())
+    n, dim = probe["n"], max(probe["d"] or 0, 0)
+    return n <= cap and n * (min_row + 4 * dim) <= budget
+
+
+def broadcast_vectors_if_bounded(df: DataFrame, vec_col: str, key_bytes: int = 48,
+                                 budget: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind :func:`vectors_fit_broadcast`."""
+    return F.broadcast(df) if vectors_fit_broadcast(df, vec_col, key_bytes, budget) else df
+
+
 class DuplicateKeyError(ValueError):
     pass
 

@@ -12,16 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators.guards import broadcast_if_bounded, vector_row_bytes
+from skein.operators.guards import broadcast_vectors_if_bounded, vectors_fit_broadcast
 
 MODES = ("diff", "concat", "diff_plus_target")
 
 
 def _lookup(vectors: DataFrame, key: str, vec: str, alias_key: str, alias_vec: str,
-            broadcast: bool | None) -> DataFrame:
+            broadcast: bool) -> DataFrame:
     side = vectors.select(F.col(key).alias(alias_key), F.col(vec).alias(alias_vec))
-    if broadcast is None:
-        return broadcast_if_bounded(side, vector_row_bytes(vectors, vec))
     return F.broadcast(side) if broadcast else side
 
 
@@ -42,6 +40,8 @@ def attach_pair_vectors(pairs: DataFrame, vectors: DataFrame, key_a="seqA", key_
     kb = F.col(key_b) if isinstance(key_b, str) else key_b
     if lower_probe:
         ka, kb = F.lower(ka), F.lower(kb)
+    if broadcast is None:
+        broadcast = vectors_fit_broadcast(vectors, vec_col)  # one probe, both lookups
     va = _lookup(vectors, vec_key, vec_col, "_ka", "vecA", broadcast)
     vb = _lookup(vectors, vec_key, vec_col, "_kb", "vecB", broadcast)
     out = (pairs.withColumn("_ka", ka).withColumn("_kb", kb)
@@ -54,7 +54,7 @@ def attach_pair_vectors(pairs: DataFrame, vectors: DataFrame, key_a="seqA", key_
         if targets is None:
             raise ValueError("diff_plus_target needs a targets table")
         t = targets.select(F.col(target_key).alias("_tk"), F.col(vec_col).alias("_tvec"))
-        t = broadcast_if_bounded(t, vector_row_bytes(targets, vec_col))
+        t = broadcast_vectors_if_bounded(t, "_tvec")
         out = out.join(t, out[target_key] == t["_tk"], "left").drop("_tk")
         feats = V.vadd(V.vsub("vecA", "vecB"), "_tvec")
     present = F.col("vecA").isNotNull() & F.col("vecB").isNotNull()
