@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import TimestampNTZType
 
 from skein.operators import answers, designs, ledger
 from skein.sources import fixtures as fx
@@ -63,18 +64,34 @@ def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(counted, "stream_running_count")
 
 
+def _as_utc_instant(ts, dtype):
+    """Zone-less event time → instant, reading the wall clock as UTC."""
+    if isinstance(dtype, TimestampNTZType):
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+    return ts
+
+
+def _as_utc_wallclock(ts):
+    """Instant → zone-less UTC wall clock (independent of the session zone)."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
 def stream_windowed_report(spark: SparkSession, sf_dir: str, window: str = "1 day",
                            delay: str = "1 hour") -> DataFrame:
     """ST4: per tumbling window and event type: count, sum and mean of value.
 
-    Update mode, so the last (still open) window is reported too.
+    Update mode, so the last (still open) window is reported too.  Event
+    times without a zone are read as UTC and the window bounds are returned
+    the same way, so the result does not depend on the session time zone.
     """
-    ev = read_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = read_stream(spark, sf_dir, "events")
+    ev = ev.withColumn("ts", _as_utc_instant(F.col("ts"), ev.schema["ts"].dataType))
     agg = (ev.withWatermark("ts", delay)
            .groupBy(F.window("ts", window).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value"),
                 F.avg("value").alias("mean_value"))
-           .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+           .select(_as_utc_wallclock(F.col("w.start")).alias("window_start"),
+                   _as_utc_wallclock(F.col("w.end")).alias("window_end"),
                    "event_type", "n", "total_value", "mean_value"))
     return run_available(agg, "stream_windowed_report", mode="update",
                          keys=["window_start", "window_end", "event_type"])
