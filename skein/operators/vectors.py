@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
-from skein.operators.guards import broadcast_vectors_if_bounded, vectors_fit_broadcast
+from skein.operators.guards import (broadcast_vectors_if_bounded, require_unique,
+                                   vectors_fit_broadcast)
 
 MODES = ("diff", "concat", "diff_plus_target")
 
@@ -27,7 +28,8 @@ def attach_pair_vectors(pairs: DataFrame, vectors: DataFrame, key_a="seqA", key_
                         mode: str = "diff", lower_probe: bool = False,
                         targets: DataFrame | None = None, target_key: str = "target_id",
                         vec_key: str = "seq", vec_col: str = "embedding",
-                        broadcast: bool | None = None, keep_vectors: bool = False) -> DataFrame:
+                        broadcast: bool | None = None, keep_vectors: bool = False,
+                        check_unique: bool = False) -> DataFrame:
     """Add ``features`` (a-b, [a;b] or a-b+t) and ``has_vectors``.
 
     ``key_a``/``key_b`` may be column names or Columns.  A missing vector on
@@ -40,6 +42,9 @@ def attach_pair_vectors(pairs: DataFrame, vectors: DataFrame, key_a="seqA", key_
     kb = F.col(key_b) if isinstance(key_b, str) else key_b
     if lower_probe:
         ka, kb = F.lower(ka), F.lower(kb)
+    if check_unique:
+        # A duplicate key would fan pair rows out; fail naming the keys.
+        require_unique(vectors, [vec_key])
     if broadcast is None:
         broadcast = vectors_fit_broadcast(vectors, vec_col)  # one probe, both lookups
     va = _lookup(vectors, vec_key, vec_col, "_ka", "vecA", broadcast)
