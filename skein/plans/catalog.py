@@ -13,8 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from skein.functions import numeric as NU
+from skein.functions import vectors as FV
 from skein.operators import answers, formatting
+from skein.operators import classifier as CL
+from skein.operators import designs as DS
+from skein.operators import embed as EM
+from skein.operators import fingerprint as FP
+from skein.operators import ledger as LG
+from skein.operators import metrics as ME
+from skein.operators import pairs as PR
+from skein.operators import prompts as PM
+from skein.operators import report as RP
+from skein.operators import scoring as SC
+from skein.operators import vectors as VE
+from skein.operators import votes as VO
 from skein.sources import fixtures as fx
+from skein.sources.prompts import union_by_name
+from skein.streaming import rewards as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -97,12 +113,6 @@ def answer_total(spark, sf):
 
 # ---- step 3: prompts --------------------------------------------------------
 
-from skein.operators import pairs as PR  # noqa: E402
-from skein.operators import prompts as PM  # noqa: E402
-from skein.operators import scoring as SC  # noqa: E402
-from skein.operators import vectors as VE  # noqa: E402
-from skein.sources.prompts import union_by_name  # noqa: E402
-
 
 @register("union_prompts")
 def union_prompts(spark, sf):
@@ -211,12 +221,6 @@ def sampled_partners(spark, sf):
 
 # ---- step 6: design scoring and the ledger ------------------------------------
 
-from skein.functions import numeric as NU  # noqa: E402
-from skein.functions import vectors as FV  # noqa: E402
-from skein.operators import designs as DS  # noqa: E402
-from skein.operators import embed as EM  # noqa: E402
-from skein.operators import fingerprint as FP  # noqa: E402
-from skein.operators import ledger as LG  # noqa: E402
 
 _DESIGN_OUT = ["id", "step", "pos", "generate_seq", "valid", "format_reward", "mention_reward",
                "design_reward", "diversity_reward", "repetition_penalty", "total_reward"]
@@ -303,10 +307,6 @@ def embedding_fingerprint(spark, sf):
 
 # ---- step 8: votes, reports, group advantage ----------------------------------
 
-from skein.operators import classifier as CL  # noqa: E402
-from skein.operators import metrics as ME  # noqa: E402
-from skein.operators import report as RP  # noqa: E402
-from skein.operators import votes as VO  # noqa: E402
 
 JUDGE_TARGET = "Mcl-1"
 
@@ -379,8 +379,6 @@ def train_pair_classifier(spark, sf):
 
 # ---- step 10: streaming --------------------------------------------------------
 
-from skein.streaming import rewards as STR  # noqa: E402
-
 
 @register("stream_rewards")
 def stream_rewards(spark, sf):
