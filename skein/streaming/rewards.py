@@ -20,6 +20,7 @@ from pyspark.sql.types import TimestampNTZType
 
 from skein.operators import answers, designs, ledger
 from skein.sources import fixtures as fx
+from skein.session import scratch_path
 from skein.streaming.sinks import read_stream, run_available
 
 
@@ -55,13 +56,57 @@ def _running_count(key, batches: Iterator[pd.DataFrame], state: GroupState):
     yield rows[["id", "generate_seq", "prior_count"]]
 
 
-def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2 ``running_count``: prior occurrences of each sequence, kept as
-    per-key state; rows are ordered by (step, pos) inside each batch."""
+def stream_running_count(spark: SparkSession, sf_dir: str, method: str = "table") -> DataFrame:
+    """ST2 ``running_count``: prior occurrences of each sequence across
+    batches; rows are ordered by (step, pos) inside each batch.
+
+    ``table`` (default, skew-safe): each micro-batch runs the two-level batch
+    count (``ledger.prior_counts``) and adds the per-sequence totals of the
+    earlier batches, kept as versioned tables in the shared folder; a hot
+    sequence is never gathered into one task.
+    ``state``: ``applyInPandasWithState`` keyed by sequence — simpler, but a
+    sequence's rows of one micro-batch form one pandas group, so a hot key is
+    bounded only by the trigger size.
+    """
     scored = _design_stream(spark, sf_dir).select("id", "generate_seq", "step", "pos")
-    counted = scored.groupBy("generate_seq").applyInPandasWithState(
-        _running_count, RUNNING_SCHEMA, COUNT_STATE, "append", GroupStateTimeout.NoTimeout)
-    return run_available(counted, "stream_running_count")
+    if method == "state":
+        counted = scored.groupBy("generate_seq").applyInPandasWithState(
+            _running_count, RUNNING_SCHEMA, COUNT_STATE, "append", GroupStateTimeout.NoTimeout)
+        return run_available(counted, "stream_running_count")
+    if method != "table":
+        raise ValueError("method must be 'table' or 'state'")
+    return _running_count_by_tables(scored, "stream_running_count")
+
+
+def _running_count_by_tables(scored: DataFrame, name: str) -> DataFrame:
+    spark = scored.sparkSession
+    base = scratch_path(spark, name)
+    out, totals, ckpt = f"{base}/rows", f"{base}/totals", f"{base}/_checkpoint"
+    key = "generate_seq"
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        ranked = ledger.prior_counts(batch, key=key)
+        if batch_id > 0:
+            prev = spark.read.parquet(f"{totals}/v={batch_id - 1}")
+        else:
+            prev = spark.createDataFrame([], f"{key} string, total long")
+        prev_k = prev.select(F.col(key).alias("_k"), "total")
+        rows = (ranked.join(prev_k, ranked[key].eqNullSafe(prev_k["_k"]), "left")
+                .select("id", key, (F.col("prior_count") + F.coalesce("total", F.lit(0)))
+                        .alias("prior_count")))
+        # Keyed by batch id, so a retried batch overwrites its own output.
+        rows.write.mode("overwrite").parquet(f"{out}/b={batch_id}")
+        counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+        (prev.unionByName(counts).groupBy(key).agg(F.sum("total").alias("total"))
+         .write.mode("overwrite").parquet(f"{totals}/v={batch_id}"))
+
+    q = (scored.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    try:
+        return spark.read.schema(RUNNING_SCHEMA).parquet(out).select("id", key, "prior_count")
+    except Exception:  # noqa: BLE001 - no batch arrived
+        return spark.createDataFrame([], RUNNING_SCHEMA)
 
 
 def _as_utc_instant(ts, dtype):
