@@ -73,6 +73,3 @@ def design_total(fmt, design, diversity, mention, repetition,
     return (wf * _c(fmt) + wd * _c(design) + wv * _c(diversity)
             + wm * _c(mention) - wr * _c(repetition))
 
-
-def round6(x) -> Column:
-    return F.round(_c(x), 6)

@@ -115,8 +115,6 @@ def motif_repeats(seq, widths=(2, 3, 4)) -> Column:
     return F.when(s.isNotNull(), total)
 
 
-motif_repeats_short = motif_repeats
-
 
 def residue_dominance(seq) -> Column:
     """A4: -(count of the most frequent character / length); empty → null."""

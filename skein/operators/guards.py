@@ -9,29 +9,6 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops counting past it)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_bounded(df: DataFrame, row_bytes: int,
-                         budget: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the side is proven to fit the budget.
-
-    Otherwise the join stays a shuffle join; AQE may still switch it at run
-    time from the real shuffle sizes, and splits skewed partitions.
-    """
-    max_rows = max(1, budget // max(1, row_bytes))
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
-def vector_row_bytes(df: DataFrame, vec_col: str, key_bytes: int = 48) -> int:
-    """Estimated bytes per row of a (key, vector) table from one row's length."""
-    first = df.select(F.size(vec_col).alias("d")).filter(F.col("d") >= 0).head()
-    dim = first["d"] if first else 0
-    return key_bytes + 4 * dim + 16
-
-
 def vectors_fit_broadcast(df: DataFrame, vec_col: str, key_bytes: int = 48,
                           budget: int = BROADCAST_BYTES) -> bool:
     """One bounded probe job: count the rows (stopping past the most that
