@@ -156,7 +156,26 @@ def limited_thinks(x, max_thinks: int = MAX_THINKS) -> Column:
 def tags_closed(x) -> Column:
     """stack over open/close tags found case-insensitively, names
     compared as written (``<Think></think>`` fails); no tags gives 1."""
-    tags = F.regexp_extract_all(_c(x), F.lit(f"({TAG_ANY_CI})"), 1)
+    return tags_closed_from(F.regexp_extract_all(_c(x), F.lit(TAG_ANY_CI), 0))
+
+
+def all_tags(x) -> Column:
+    """Every open/close tag in order (case-insensitive), as written."""
+    return F.regexp_extract_all(_c(x), F.lit(TAG_ANY_CI), 0)
+
+
+def tag_count(tags: Column, pattern: str) -> Column:
+    """How many of the extracted ``tags`` are exactly ``pattern``.
+
+    Every occurrence of a tag in the text is itself one of the extracted
+    tags (a tag holds ``<`` only at its start, so matches cannot overlap),
+    so this equals counting ``pattern`` over the whole text.
+    """
+    return F.size(F.filter(tags, lambda g: g.rlike(rf"\A{pattern}\z")))
+
+
+def tags_closed_from(tags: Column) -> Column:
+    """F1 over an already extracted tag array (see :func:`all_tags`)."""
     empty = F.array().cast("array<string>")
 
     def step(st, g):

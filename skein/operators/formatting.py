@@ -21,20 +21,23 @@ CHECKS = ("has_think", "tagged_ratio", "not_too_long", "one_answer", "answer_aft
           "ends_with_answer", "starts_with_think")
 
 
-def _checks(t: Column, think: Column, stripped: Column) -> dict[str, Column]:
-    has_think = T.has_think(t)
-    has_tag = T.has_any_tag(t)
+def _checks(t: Column, think: Column, stripped: Column, tags: Column) -> dict[str, Column]:
+    # The tag counts come from the one tag extraction F1 needs anyway.
+    n_think = T.tag_count(tags, T.THINK_OPEN_CI)
+    n_answer = T.tag_count(tags, T.ANSWER_OPEN_CI)
+    has_think = (n_think > 0).cast("int")
+    has_tag = ((n_think + n_answer) > 0).cast("int")
     think_ok = (F.length(T.strip(F.array_join(think, " "))) > T.MIN_THINK_CHARS).cast("int")
     return {
         "has_think": has_think,
         "tagged_ratio": T.tagged_ratio(t),
         "not_too_long": T.not_too_long(t),
-        "one_answer": T.one_answer(t),
+        "one_answer": (n_answer == 1).cast("int"),
         "answer_after_thinks": T.answer_after_thinks(t),
         "thinks_have_text": think_ok * has_think,
         "no_nested_tags": T.no_nested_tags(t) * has_tag,
-        "limited_thinks": T.limited_thinks(t) * has_think,
-        "tags_closed": T.tags_closed(t) * has_tag,
+        "limited_thinks": (n_think <= T.MAX_THINKS).cast("int") * has_think,
+        "tags_closed": T.tags_closed_from(tags) * has_tag,
         "ends_with_answer": stripped.endswith("</answer>").cast("int"),
         "starts_with_think": stripped.startswith("<think>").cast("int"),
     }
@@ -48,8 +51,8 @@ def format_checks(df: DataFrame, text_col: str = "completion", keep: Sequence[st
     """
     t = F.col(text_col)
     inner = df.select(*keep, t.alias("_t"), T.think_blocks(t).alias("_think"),
-                      T.strip(t).alias("_stripped"))
-    checks = _checks(F.col("_t"), F.col("_think"), F.col("_stripped"))
+                      T.strip(t).alias("_stripped"), T.all_tags(t).alias("_tags"))
+    checks = _checks(F.col("_t"), F.col("_think"), F.col("_stripped"), F.col("_tags"))
     names = list(CHECKS[:-1] if use_go else CHECKS)
     composite = sum((checks[n] for n in names[1:]), checks[names[0]]) / len(names)
     return inner.select(*keep, *[checks[n].alias(n) for n in names],
