@@ -129,3 +129,10 @@ def test_stream_running_count_methods_agree_over_batches(spark, tmpdir_path):
     b = sorted((r[0], r[1] or "", r[2]) for r in batch.select("id", "generate_seq",
                                                               "prior_count").collect())
     assert a == b and len(a) == emb.count()
+
+
+def test_run_available_with_no_input(spark, tmpdir_path):
+    empty_dir = os.path.join(tmpdir_path, "nothing")
+    os.makedirs(empty_dir)
+    src = spark.readStream.schema("a long").parquet(empty_dir)
+    assert run_available(src, "test_empty").count() == 0
