@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -79,6 +81,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/skein/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python
+    workers import it wherever the session was started from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="skein-ship-"), "skein_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, files in os.walk(root):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every job needs of a session that it did not build itself."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Materialise ``df`` reliably (``checkpoint``), never ``localCheckpoint``."""
     spark = spark or df.sparkSession
