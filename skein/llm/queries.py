@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.sources.tables import read_table
 
-from . import bpe, decontaminate, licenses, near_dup, quality, secrets, sharding
+from . import (bpe, decontaminate, embed_dedup, licenses, line_dedup, near_dup, quality, repeats, secrets,
+               sharding)
+from .sql import ORACLE_SQL  # noqa: F401 (read by the entry file)
 
 
 def tokenizer_path() -> str:
@@ -23,6 +25,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,14 @@ def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_links(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +59,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_bpe_round_trip, op4_secret_scan, op5_vector_sharding,
-    op8_near_duplicates, op9_license_scan, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+    op1_benchmark_decontamination, op2_bpe_round_trip, op3_repeated_passages, op4_secret_scan,
+    op5_vector_sharding, op6_embedding_near_dup, op7_line_dedup, op8_near_duplicates, op9_license_scan, op10_quality)}
