@@ -3,31 +3,32 @@
 A bucket holds ids that share a band key.  Comparing all pairs of a bucket is
 never needed for components: ids that are already connected need no further
 comparison.  So each bucket is first compared with one member (a star); the
-links found are contracted; only buckets that still hold several components go
-on, first with another member, then with the remaining pairs across components,
-dealt out in blocks.  Every pair of a bucket thus ends up either verified or
-connected, and no link between components is lost.
+links found are contracted; only buckets that still hold several components go on.
+Members that can have no further link are taken out by an exact bound; the rest
+are compared with another member, and at last pair by pair across components,
+block against block.  Every pair of a bucket thus ends up verified,
+connected or shown to be no link, and no link between components is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .store import written
 
-BLOCK = 64
+#: Items of the sets that one block holds.
+BLOCK_ITEMS = 1 << 18
 
 
 def colliding(buckets: DataFrame) -> DataFrame:
     """Rows (key, id) of buckets with at least two ids, and the bucket's size
-    and smallest id.  Sizes are counted before the shuffle."""
+    and smallest id.  Sizes are counted before the shuffle; the join hashes the
+    few buckets that collide instead of sorting all rows."""
     many = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")) \
         .filter("n > 1")
-    return buckets.join(many, "key")
+    return buckets.join(many.hint("shuffle_hash"), "key")
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -45,50 +46,91 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
         .select("a", "b")
 
 
+def able(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The members that can still have a link among these members: an item that
+    no other member's set holds is in no intersection, so a set needs a share of
+    num / den of items that others hold too.  Exact; buckets left with one id
+    are dropped."""
+    ids = members.select("id").distinct()
+    own = sets.join(ids, "id", "left_semi").select("id", F.size("items").alias("size"),
+                                                   F.explode("items").alias("x"))
+    common = own.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi")) \
+        .filter("lo <> hi").select("x")
+    fit = own.join(common, "x", "left_semi").groupBy("id", "size").agg(F.count("*").alias("c")) \
+        .filter(F.col("c") * den >= F.col("size") * num).select("id")
+    return members.join(written(fit, "fit"), "id", "left_semi")
+
+
 def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components (id, root) of the verified pairs of the buckets.
+def linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Components (id, root) of the true links among the members of buckets.
 
-    ``members``: key, id, n, centre as given by :func:`colliding`; ``verify``
-    keeps the true links of a table of pairs (a, b)."""
-    pairs = members.filter("id <> centre").select(*_pair(F.col("id"), F.col("centre"))).distinct()
-    tested = written(pairs, "pairs")
-    links = written(verify(tested), "verified")
+    ``members``: key, id, n, centre as given by :func:`colliding`; ``sets``: id,
+    items for every member."""
+    tested = written(members.filter("id <> centre").select(*_pair(F.col("id"), F.col("centre"))).distinct(),
+                     "pairs")
+    links = written(jaccard_links(tested, sets, num, den), "verified")
     roots = components(links)
-
-    def open_buckets() -> DataFrame:
-        now = members.select("key", "id").join(roots, "id", "left") \
-            .select("key", "id", F.coalesce("root", "id").alias("root"))
-        still = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                       F.count("*").alias("n"),
-                                       F.max(F.struct(F.xxhash64("id"), "id")).alias("top")) \
-            .filter("lo <> hi").select("key", "n", F.col("top.id").alias("centre"))
-        return written(now.join(still, "key"), "open")
-
-    rest = open_buckets()
+    rest = written(_open(able(_open(members, roots, 0), sets, num, den), roots, 0), "open")
     if not rest.limit(1).count():
         return roots
-    star = rest.select("key", F.col("id").alias("other"), F.col("root").alias("r")) \
-        .join(rest.filter("id = centre").select("key", "centre", F.col("root").alias("rc")), "key") \
-        .filter("r <> rc").select(*_pair(F.col("other"), F.col("centre"))).distinct()
+    centres = rest.filter("id = centre").select("key", F.col("root").alias("rc"))
+    star = rest.join(centres, "key").filter("root <> rc") \
+        .select(*_pair(F.col("id"), F.col("centre"))).distinct()
     more = written(star.join(tested, ["a", "b"], "left_anti"), "pairs")
-    tested = written(tested.union(more), "pairs")
-    links = written(links.union(verify(more)), "verified")
+    links = written(links.union(jaccard_links(more, sets, num, den)), "verified")
     roots = components(links)
 
-    rest = open_buckets()
+    rest = written(_open(rest, roots, 1), "open")
     if not rest.limit(1).count():
         return roots
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("blocks", blocks)
-    left = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                        F.col("id").alias("u"), F.col("root").alias("ru"))
-    right = dealt.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
-                         F.col("id").alias("v"), F.col("root").alias("rv"))
-    cross = left.join(right, ["key", "block"]).filter("ru < rv") \
-        .select(*_pair(F.col("u"), F.col("v"))).distinct()
-    more = written(cross.join(tested, ["a", "b"], "left_anti"), "pairs")
-    return components(written(links.union(verify(more)), "verified"))
+    return components(written(links.union(_across(rest, sets, num, den)), "verified"))
+
+
+def _across(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components of open buckets.
+
+    Buckets that share ids are one cloud, so that a pair of several buckets is
+    looked at once.  A cloud is dealt to blocks of bounded size; each pair of
+    blocks is one row, compared inside an expression that returns its links
+    only: pairs are never rows."""
+    clouds = components(rest.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    nodes = rest.groupBy("id").agg(F.min("root").alias("root"), F.collect_set("key").alias("keys")) \
+        .join(clouds.select("id", F.col("root").alias("cloud")), "id").join(sets, "id")
+    volume = nodes.groupBy("cloud").agg(F.sum(F.size("items")).alias("volume"))
+    dealt = nodes.join(volume, "cloud") \
+        .withColumn("blocks", F.ceil(F.col("volume") / BLOCK_ITEMS).cast("int")) \
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = written(dealt.groupBy("cloud", "block").agg(
+        F.max("blocks").alias("blocks"),
+        F.collect_list(F.struct("id", "root", "keys", "items")).alias("own")), "blocks")
+    left = packed.select("cloud", F.col("block").alias("i"), F.col("own").alias("xs"),
+                         F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    right = packed.select("cloud", "block", F.col("own").alias("ys"))
+
+    def link(x: Column, y: Column) -> Column:
+        nx, ny = F.size(x["items"]), F.size(y["items"])
+        common = F.size(F.array_intersect(x["items"], y["items"]))
+        return (x["root"] != y["root"]) & ((F.col("i") != F.col("block")) | (x["id"] < y["id"])) \
+            & (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) \
+            & F.arrays_overlap(x["keys"], y["keys"]) & (common * (den + num) >= (nx + ny) * num)
+
+    found = F.flatten(F.transform("xs", lambda x: F.transform(
+        F.filter("ys", lambda y: link(x, y)), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))))
+    return left.join(right, ["cloud", "block"]).select(F.explode(found).alias("p")) \
+        .select(*_pair(F.col("p.u"), F.col("p.v"))).distinct()
+
+
+def _open(members: DataFrame, roots: DataFrame, step: int) -> DataFrame:
+    """Members (key, id, root, n, centre) of the buckets that hold several
+    components; the centre is another one in each step."""
+    now = members.select("key", "id").join(roots, "id", "left") \
+        .select("key", "id", F.coalesce("root", "id").alias("root"))
+    mark = F.xxhash64(F.lit(step), "id")
+    still = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                   F.count("*").alias("n"), F.max(F.struct(mark, "id")).alias("top")) \
+        .filter("lo <> hi").select("key", "n", F.col("top.id").alias("centre"))
+    return now.join(still, "key")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .links import colliding, jaccard_links, linked
+from .links import colliding, linked
 from .store import written
 
 PLACES = 1 << 20
@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = written(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     sets = written(own.join(wanted, "doc_id", "left_semi").mapInArrow(
         _sets, "id long, items array<long>"), "sets")
-    roots = linked(members, lambda pairs: jaccard_links(pairs, sets, NUM, DEN))
+    roots = linked(members, sets, NUM, DEN)
     named = classes.join(roots, "id", "left") \
         .select("h1", "h2", "n_shingles", F.coalesce("root", "id").alias("class_root"))
     return sketch.drop("keys").join(named, ["h1", "h2", "n_shingles"], "left") \

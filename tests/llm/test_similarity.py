@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from skein.llm import embed_dedup, line_dedup, near_dup, quality, queries, repeats
 from skein.llm.components import components
-from skein.llm.links import colliding, jaccard_links, linked
+from skein.llm.links import colliding, linked
 from tests.conftest import SF_CHECK, SF_SMALL
 
 from . import brute
@@ -60,7 +60,7 @@ def test_linked_loses_no_link_that_the_star_misses(spark):
     sets = {0: range(900, 920), **{i: range(i, i + 20) for i in range(1, 150)}}
     frame = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, items array<long>")
     members = colliding(frame.select("id", F.lit(7).cast("long").alias("key")))
-    got = {r.id: r.root for r in linked(members, lambda p: jaccard_links(p, frame, 75, 100)).collect()}
+    got = {r.id: r.root for r in linked(members, frame, 75, 100).collect()}
     assert got == {i: 1 for i in range(1, 150)}
 
 
@@ -109,14 +109,18 @@ def test_circulant_signature_estimates_jaccard():
 # -- lines ----------------------------------------------------------------------------
 
 def brute_lines(by_id):
-    shingle = re.compile(r"(?:(?<!\S)|(?<=\S{12}))(?=(\S.{0,19}))", re.ASCII | re.DOTALL)
+    def shingle(line):
+        words = line.split(" ")
+        out = {" ".join(words[i:i + 3])[:20] for i in range(len(words)) if len(words[i]) <= 20 and words[i]}
+        return out | {w[i:i + 20] for w in words for i in range(len(w) - 19) if len(w) > 20}
+
     places, sets = collections.defaultdict(list), {}
     for d, t in by_id.items():
         for n, line in enumerate((t or "").split("\n")):
-            if re.search(r"\S", line, re.ASCII):
+            if line.strip(" \t\x0b\f\r"):
                 places[line].append((d, n))
                 if line not in sets:
-                    sets[line] = set(shingle.findall(line))
+                    sets[line] = shingle(line)
     held = collections.defaultdict(list)
     for line, s in sets.items():
         for g in s:
@@ -126,7 +130,7 @@ def brute_lines(by_id):
         for i, a in enumerate(who):
             for b in who[i + 1:]:
                 common[min(a, b), max(a, b)] += 1
-    links = [(a, b) for (a, b), c in common.items() if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c)]
+    links = [(a, b) for (a, b), c in common.items() if 100 * c >= 90 * (len(sets[a]) + len(sets[b]) - c)]
     groups = collections.defaultdict(list)
     for line, root in brute.roots(sets, links).items():
         groups[root] += places[line]
