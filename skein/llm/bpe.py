@@ -19,7 +19,9 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered per Python worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def _byte_names() -> dict[int, str]:
@@ -173,10 +175,14 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.offs = np.zeros(1, np.int64)
-        self.shown: list[str] = []
+        """Forget all words; special tokens come first, with their own ids."""
+        special = list(self.vocab.special.items())
+        # an unknown word gets the next place as it is looked up
+        self.place: dict[str, int] = defaultdict(count(len(special)).__next__)
+        self.place.update({" " + name: i for i, (name, _) in enumerate(special)})
+        self.ids = np.array([i for _, i in special], np.uint32)
+        self.offs = np.arange(len(special) + 1)
+        self.shown = [name for name, _ in special]
 
     def words(self, text: str) -> list[str]:
         if self.specials is None or not any(s in text for s in self.vocab.special):
@@ -193,38 +199,33 @@ class Encoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.cut(self.space.sub(" ", text).lower())
 
-    def learn(self, fresh: list[str]) -> None:
-        plain = [w for w in fresh if w[0] != " "]
-        special = [w for w in fresh if w[0] == " "]
-        flat, offs = merge_words(self.vocab, [w.encode() for w in plain])
-        own = np.array([self.vocab.special[w[1:]] for w in special], np.int64)
-        flat = np.concatenate([flat, own]).astype(np.uint32)
-        offs = np.concatenate([offs, offs[-1] + np.arange(1, len(own) + 1)])
+    def learn(self) -> None:
+        """Encode the words that were looked up and are not known yet."""
+        fresh = list(islice(self.place, len(self.shown), None))
+        if not fresh:
+            return
+        flat, offs = merge_words(self.vocab, [w.encode() for w in fresh])
         names = [self.vocab.names[i] for i in flat.tolist()]
         at = offs.tolist()
         self.shown += [" ".join(names[a:b]) for a, b in zip(at[:-1], at[1:])]
-        for w in [*plain, *special]:
-            self.place[w] = len(self.place)
         self.offs = np.concatenate([self.offs, self.offs[-1] + offs[1:]])
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """(ids, decoded text) of each text.  Decoding without a decoder joins
         the tokens' names by blanks."""
         if len(self.place) > REMEMBERED:
             self.reset()
-        cut = [self.words(t) for t in texts]
-        fresh = sorted(set().union(*cut).difference(self.place))
-        if fresh:
-            self.learn(fresh)
-        place, shown = self.place, self.shown
-        for words in cut:
-            at = np.array([place[w] for w in words], np.int64)
+        place, words = self.place, self.words
+        cut = [np.array([place[w] for w in words(t)], np.int64) for t in texts]
+        self.learn()
+        shown = self.shown
+        for at in cut:
             start, size = self.offs[at], self.offs[at + 1] - self.offs[at]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
             where = np.arange(total) + np.repeat(start - (ends - size), size)
-            yield self.ids[where], " ".join([shown[i] for i, n in zip(at.tolist(), size.tolist()) if n])
+            yield self.ids[where], " ".join([shown[i] for i in at[size > 0].tolist()])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -249,7 +250,7 @@ def _digests(path: str):
     return run
 
 
-def _portions(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
+def _portions(texts: pa.Array, limit: int = 1 << 24) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about ``limit`` bytes."""
     from .kernel import text_blocks
     for lo, hi, _, _ in text_blocks(texts, limit):
