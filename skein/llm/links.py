@@ -100,7 +100,8 @@ def _across(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     clouds = components(rest.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
     nodes = rest.groupBy("id").agg(F.min("root").alias("root"), F.collect_set("key").alias("keys")) \
         .join(clouds.select("id", F.col("root").alias("cloud")), "id").join(sets, "id")
-    volume = nodes.groupBy("cloud").agg(F.sum(F.size("items")).alias("volume"))
+    nodes = written(nodes, "nodes")
+    volume = written(nodes.groupBy("cloud").agg(F.sum(F.size("items")).alias("volume")), "volume")
     dealt = nodes.join(volume, "cloud") \
         .withColumn("blocks", F.ceil(F.col("volume") / BLOCK_ITEMS).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))

@@ -111,8 +111,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(own.mapInArrow(
         _sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "sketch")
-    classes = sketch.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles") \
-        .agg(F.min("doc_id").alias("id"))
+    # written, so that the joins below read it afresh and a large class is split
+    classes = written(sketch.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles")
+                      .agg(F.min("doc_id").alias("id")), "classes")
     heads = classes.filter("id is not null")
     rows = sketch.filter("n_shingles > 0").join(heads, ["h1", "h2", "n_shingles"]) \
         .filter("doc_id = id").select("id", "keys")

@@ -246,8 +246,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     heads = rows.join(classes.select(*whole, "head"), whole).filter("doc_id = head")
     anchors = heads.select("doc_id", F.explode(F.arrays_zip("grams", "places")).alias("a")) \
         .select("doc_id", F.col("a.grams").alias("gram"), F.col("a.places").alias("place"))
-    shared = anchors.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")) \
-        .filter("lo <> hi").select("gram")
+    # written, so that the join reads it afresh and a very common gram is split
+    shared = written(anchors.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                     .filter("lo <> hi").select("gram"), "shared")
     wanted = written(anchors.join(shared, "gram", "left_semi").groupBy("doc_id")
                      .agg(F.sort_array(F.collect_set("place")).alias("places")), "wanted")
     suffixes = written(own.join(wanted, "doc_id").select("doc_id", "text", "places")
