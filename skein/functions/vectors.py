@@ -105,8 +105,8 @@ def motif_repeats(seq, widths=(2, 3, 4)) -> Column:
     """A3: Σ over widths of Σ(c-1) for sliding motifs seen more than twice.
 
     Row-local and O(L log L): the motifs of each width are sorted and equal
-    runs counted in one pass — no explode, no shuffle.  (The distributed
-    path for very long texts is ``operators.designs.motif_repeats_long``.)
+    runs counted in one pass — no explode, no shuffle.  (For long texts
+    use ``operators.designs.motif_repeats_long``.)
     """
     s = _c(seq)
     total = F.lit(0).cast("long")

@@ -38,45 +38,18 @@ def in_gate(seq) -> F.Column:
     return s.isNotNull() & F.length(s).between(MIN_LEN, MAX_LEN)
 
 
-LOCAL_MOTIF_CHARS = 1_000_000  # longer texts take the distributed path
-
-
-def _motif_repeats_exploded(base: DataFrame, key: list[str], text: str,
-                            widths: Sequence[int]) -> DataFrame:
-    w = F.explode(F.array(*[F.lit(x) for x in widths])).alias("_w")
-    starts = base.select(*key, text, w).select(
-        *key, "_w", text,
-        F.explode(F.when(F.length(text) >= F.col("_w"),
-                         F.sequence(F.lit(1), F.length(text) - F.col("_w") + 1))
-                  .otherwise(F.array().cast("array<int>"))).alias("_i"))
-    motifs = starts.select(*key, "_w", F.substring(F.col(text), F.col("_i"), F.col("_w"))
-                           .alias("_m"))
-    counts = motifs.groupBy(*key, "_w", "_m").agg(F.count(F.lit(1)).alias("_c"))
-    rep = (counts.filter(F.col("_c") > 2).groupBy(*key)
-           .agg(F.sum(F.col("_c") - 1).alias("repeats")))
-    return (base.select(*key).join(rep, key, "left")
-            .select(*key, F.coalesce("repeats", F.lit(0)).cast("long").alias("repeats")))
-
-
 def motif_repeats_long(df: DataFrame, key: Sequence[str], text: str,
-                       widths: Sequence[int] = MOTIF_WIDTHS,
-                       max_local_chars: int = LOCAL_MOTIF_CHARS) -> DataFrame:
-    """A3 over texts of any length, one row per key with ``repeats``.
-
-    Texts up to ``max_local_chars`` are counted row-locally (an Arrow-batched
-    numpy counter: no shuffle).  Longer ones are exploded into motif rows,
-    counted per (key, width, motif) and summed per key — both aggregations
-    combine map-side, so one enormous text is spread over many tasks.
+                       widths: Sequence[int] = MOTIF_WIDTHS) -> DataFrame:
+    """A3 over texts of any length, one row per input row with ``repeats``.
+
+    One path for all lengths: an Arrow-batched numpy counter packs the motifs
+    of a text into codes and sorts them.  Row-local, so there is no shuffle and
+    repeated or null keys change nothing; a null text gives null.
     """
     if tuple(widths) != MOTIF_WIDTHS:
-        raise ValueError("the row-local counter is built for widths 2, 3, 4")
+        raise ValueError("the counter is built for widths 2, 3, 4")
     key = [key] if isinstance(key, str) else list(key)
-    base = df.select(*key, text)
-    size = F.coalesce(F.length(text), F.lit(0))
-    local = base.filter(size <= max_local_chars).select(
-        *key, V.motif_repeats_text(F.col(text)).alias("repeats"))
-    big = _motif_repeats_exploded(base.filter(size > max_local_chars), key, text, widths)
-    return local.unionByName(big)
+    return df.select(*key, V.motif_repeats_text(F.col(text)).alias("repeats"))
 
 
 def score_designs(df: DataFrame, scorer: PairScorer | None = None,

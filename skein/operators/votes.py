@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 
 # Question template: {target}, {design} and {reference} are filled per row.
-DEFAULT_QUESTION = ("Based on the target sequence {target}, is {design} expected to exhibit "
-                    "a higher probability of binding effectively compared to {reference}? "
-                    "Both peptides are considered cyclic peptide binders derived for this "
-                    "target. The answer is either yes or no.")
+DEFAULT_QUESTION = ("Target {target}: would you pick candidate {design} "
+                    "over candidate {reference}? Reply yes or no.")
 
 
 def judge_question(design, reference, target: str, template: str = DEFAULT_QUESTION) -> Column:

@@ -245,6 +245,12 @@ def motif_repetition_text(spark, sf):
     return DS.motif_repeats_long(conv, ["conv_id", "turn"], "text")
 
 
+@register("motif_repetition_documents")
+def motif_repetition_documents(spark, sf):
+    docs = read_table_cols(spark, sf, "documents", "doc_id", "text")
+    return DS.motif_repeats_long(docs, "doc_id", "text")
+
+
 @register("residue_dominance")
 def residue_dominance(spark, sf):
     d = fx.designs(spark, sf)
@@ -308,7 +314,7 @@ def embedding_fingerprint(spark, sf):
 # ---- step 8: votes, reports, group advantage ----------------------------------
 
 
-JUDGE_TARGET = "Mcl-1"
+JUDGE_TARGET = "T1"
 
 
 def _answer_scored(spark, sf):
@@ -403,3 +409,18 @@ def stream_windowed_report(spark, sf):
 @register("design_examples")
 def design_examples(spark, sf):
     return round_doubles(PM.design_examples(fx.design_prompts(spark, sf)))
+
+
+@register("stream_rewards_resumed")
+def stream_rewards_resumed(spark, sf):
+    return round_doubles(STR.stream_rewards_resumed(spark, sf))
+
+
+@register("stream_ledger_resumed")
+def stream_ledger_resumed(spark, sf):
+    return round_doubles(STR.stream_ledger_resumed(spark, sf))
+
+
+@register("stream_windowed_report_batches")
+def stream_windowed_report_batches(spark, sf):
+    return round_doubles(STR.stream_windowed_report_batches(spark, sf))

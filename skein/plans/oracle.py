@@ -197,6 +197,16 @@ r as (select conv_id, turn, sum(c - 1) as repeats from c where c > 2 group by al
 select k.conv_id, k.turn, coalesce(r.repeats, 0)::BIGINT as repeats
 from conversations k left join r on r.conv_id = k.conv_id and r.turn = k.turn"""
 
+ORACLE["motif_repetition_documents"] = """
+with m as (
+  select doc_id, substring(text, i, w) as motif, w from (
+    select doc_id, text, w, unnest(range(1, length(text) - w + 2)) as i
+    from (select doc_id, text, unnest([2, 3, 4]) as w from documents) a) b),
+c as (select doc_id, w, motif, count(*) as c from m group by all),
+r as (select doc_id, sum(c - 1) as repeats from c where c > 2 group by all)
+select k.doc_id, case when k.text is not null then coalesce(r.repeats, 0)::BIGINT end as repeats
+from documents k left join r on r.doc_id = k.doc_id"""
+
 ORACLE["residue_dominance"] = S.ctes(("designs", S.DESIGNS)) + """
 select id, round(case when length(seq) > 0 then -(
   list_max(list_transform(list_distinct(string_split(seq, '')),
@@ -278,9 +288,8 @@ group by design_seq, ref_seq"""
 
 ORACLE["judge_questions"] = S.ctes(*_DC) + """
 select id, design_seq, ref_seq,
-  'Based on the target sequence Mcl-1, is ' || design_seq || ' expected to exhibit a higher '
-  || 'probability of binding effectively compared to ' || ref_seq || '? Both peptides are '
-  || 'considered cyclic peptide binders derived for this target. The answer is either yes or no.'
+  'Target T1: would you pick candidate ' || design_seq || ' over candidate ' || ref_seq
+  || '? Reply yes or no.'
   as question
 from (select id, """ + _GEN + """ as design_seq, """ + S.first_keyword("keywords") + """ as ref_seq
       from dc) x
@@ -350,6 +359,10 @@ select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1
   event_type, count(*) as n, round(sum(value), 6) as total_value, round(avg(value), 6) as mean_value
 from events group by all"""
 
+ORACLE["stream_rewards_resumed"] = ORACLE["stream_rewards"]
+ORACLE["stream_ledger_resumed"] = ORACLE["stream_ledger"]
+ORACLE["stream_windowed_report_batches"] = ORACLE["stream_windowed_report"]
+
 ORACLE["design_examples"] = S.ctes(("designs", S.DESIGNS), ("dp", S.DESIGN_PROMPTS)) + """
 select prompt_id, """ + S.prompt_text("system_prompt", "user_prompt") + """ as prompt, keywords,
   task, system_prompt, user_prompt, round(candidate_plddt, 6) as candidate_plddt, candidate

@@ -180,7 +180,7 @@ from pairs
 
 DOC_PROMPTS = """
 select d.doc_id, 'Read the passage and answer yes or no.' as system_prompt,
-  'Is this passage of good quality? '||substring(text,1,200) as user_prompt,
+  'Is this passage of good quality? '||text as user_prompt,
   lang||'|'||source as keywords, source as task,
   (case when toxic=1 then 2 else quality end)::INT as label,
   (n_chars % 1001) / 1000.0 as prob_score

@@ -159,7 +159,7 @@ def doc_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.lit(DOC_SYSTEM_PROMPT).alias("system_prompt"),
         F.concat(F.lit("Is this passage of good quality? "),
-                 F.substring(col("text"), 1, 200)).alias("user_prompt"),
+                 col("text")).alias("user_prompt"),
         F.concat(col("lang"), F.lit("|"), col("source")).alias("keywords"),
         col("source").alias("task"), label.cast("int").alias("label"),
         ((col("n_chars") % 1001) / 1000.0).alias("prob_score"))

@@ -56,11 +56,19 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 
 def read_cycles(spark: SparkSession, paths_by_cycle: dict[int, str],
                 schema: StructType) -> DataFrame:
-    """The design-cycle CSVs read in one scan, ``cycle`` from the file name."""
+    """The design-cycle CSVs read in one scan, ``cycle`` from the file's or
+    its folder's full path.  A file that matches none of the paths is an error."""
     paths = list(paths_by_cycle.values())
     df = (spark.read.schema(schema).option("header", True).csv(paths)
           .withColumn("_file", F.input_file_name()))
-    # input_file_name() is a URI; match on the trailing file name.
-    cycle = F.coalesce(*[F.when(F.col("_file").endswith("/" + p.split("/")[-1]), F.lit(c))
-                         for c, p in paths_by_cycle.items()])
+    # full paths: files may have the same name in several folders
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    own = F.url_decode(F.replace(F.parse_url("_file", F.lit("PATH")), F.lit("+"), F.lit("%2B")))
+    cycle = None
+    for c, p in paths_by_cycle.items():
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        want = path.getFileSystem(conf).makeQualified(path).toUri().getPath().rstrip("/")
+        hit = (own == want) | own.startswith(want + "/")
+        cycle = F.when(hit, F.lit(c)) if cycle is None else cycle.when(hit, F.lit(c))
+    cycle = cycle.otherwise(F.raise_error(F.concat(F.lit("no cycle for file "), F.col("_file"))).cast("int"))
     return df.withColumn("cycle", cycle).drop("_file")

@@ -21,27 +21,63 @@ from pyspark.sql.types import TimestampNTZType
 from skein.operators import answers, designs, ledger
 from skein.sources import fixtures as fx
 from skein.session import scratch_path
-from skein.streaming.sinks import read_stream, run_available
+from skein.sources.tables import table_path
+from skein.streaming.sinks import read_stream, read_written, run_available
 
 
-def stream_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: completions (from arriving conversations) scored as in J08."""
-    conv = read_stream(spark, sf_dir, "conversations")
+def stream_answer_scores(spark: SparkSession, sf_dir: str, source: DataFrame | None = None,
+                         base: str | None = None) -> DataFrame:
+    """ST1: completions (from arriving conversations) scored as in J08.
+    ``base`` names the output and checkpoint folder of a run to continue."""
+    conv = read_stream(spark, sf_dir, "conversations") if source is None else source
     scored = answers.score_answers(fx.completions_from(conv), keep=["conv_id", "turn", "step"])
-    return run_available(scored, "stream_rewards")
+    return run_available(scored, "stream_rewards", base=base)
 
 
-def _design_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gen = read_stream(spark, sf_dir, "embeddings")
+def _design_stream(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    gen = read_stream(spark, sf_dir, "embeddings") if source is None else source
     comp = fx.design_completions(spark, sf_dir, generated=gen)
     return designs.score_designs(comp, keep=["id"], inline_vectors=True)
 
 
-def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2: last design reward and count per sequence, updated per batch."""
-    scored = _design_stream(spark, sf_dir)
-    agg = ledger.last_scores(scored)
-    return run_available(agg, "stream_ledger", mode="update", keys=["generate_seq"])
+def stream_ledger(spark: SparkSession, sf_dir: str, source: DataFrame | None = None,
+                  base: str | None = None) -> DataFrame:
+    """ST2: last design reward and count per sequence, updated per batch.
+    ``base`` names the output and checkpoint folder of a run to continue."""
+    agg = ledger.last_scores(_design_stream(spark, sf_dir, source))
+    return run_available(agg, "stream_ledger", mode="update", keys=["generate_seq"], base=base)
+
+
+def in_parts(spark: SparkSession, sf_dir: str, table: str, column: str, parts: int,
+             newest_first: bool = False) -> Iterator[tuple[str, DataFrame]]:
+    """Let a table arrive in several files: writes the next range of ``column``
+    to one folder and yields (folder, stream of one file a batch) each time."""
+    whole = spark.read.parquet(table_path(sf_dir, table))
+    cuts = whole.select(F.percentile(column, F.array(
+        *[F.lit(i / parts) for i in range(1, parts)])).alias("c")).head()["c"] or []
+    src = scratch_path(spark, f"arriving-{table}")
+    part = F.lit(0)
+    for c in cuts:
+        part = part + F.coalesce(F.col(column) > c, F.lit(False)).cast("int")
+    for k in reversed(range(parts)) if newest_first else range(parts):
+        whole.filter(part == k).coalesce(1).write.mode("append").parquet(src)
+        yield src, spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def stream_rewards_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 in two runs: the second continues the first and reads only the rest."""
+    base, out = scratch_path(spark, "rewards-resumed"), None
+    for _, source in in_parts(spark, sf_dir, "conversations", "conv_id", 2):
+        out = stream_answer_scores(spark, sf_dir, source, base)
+    return out
+
+
+def stream_ledger_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2 in two runs over one ledger."""
+    base, out = scratch_path(spark, "ledger-resumed"), None
+    for _, source in in_parts(spark, sf_dir, "embeddings", "vec_id", 2):
+        out = stream_ledger(spark, sf_dir, source, base)
+    return out
 
 
 RUNNING_SCHEMA = "id long, generate_seq string, prior_count long"
@@ -103,10 +139,8 @@ def _running_count_by_tables(scored: DataFrame, name: str) -> DataFrame:
     q = (scored.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.schema(RUNNING_SCHEMA).parquet(out).select("id", key, "prior_count")
-    except Exception:  # noqa: BLE001 - no batch arrived
-        return spark.createDataFrame([], RUNNING_SCHEMA)
+    schema = spark.createDataFrame([], RUNNING_SCHEMA).schema
+    return read_written(spark, out, schema).select("id", key, "prior_count")
 
 
 def _as_utc_instant(ts, dtype):
@@ -122,16 +156,18 @@ def _as_utc_wallclock(ts):
 
 
 def stream_windowed_report(spark: SparkSession, sf_dir: str, window: str = "1 day",
-                           delay: str = "1 hour") -> DataFrame:
+                           source: DataFrame | None = None) -> DataFrame:
     """ST4: per tumbling window and event type: count, sum and mean of value.
 
-    Update mode, so the last (still open) window is reported too.  Event
+    No watermark, so no event is dropped however late it arrives: the result is
+    the batch result for any order of files.  State is one row per window and
+    event type.  Update mode, so the last (still open) window is reported too.  Event
     times without a zone are read as UTC and the window bounds are returned
     the same way, so the result does not depend on the session time zone.
     """
-    ev = read_stream(spark, sf_dir, "events")
+    ev = read_stream(spark, sf_dir, "events") if source is None else source
     ev = ev.withColumn("ts", _as_utc_instant(F.col("ts"), ev.schema["ts"].dataType))
-    agg = (ev.withWatermark("ts", delay)
+    agg = (ev
            .groupBy(F.window("ts", window).alias("w"), "event_type")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value"),
                 F.avg("value").alias("mean_value"))
@@ -140,3 +176,11 @@ def stream_windowed_report(spark: SparkSession, sf_dir: str, window: str = "1 da
                    "event_type", "n", "total_value", "mean_value"))
     return run_available(agg, "stream_windowed_report", mode="update",
                          keys=["window_start", "window_end", "event_type"])
+
+
+def stream_windowed_report_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4 over three files that arrive newest first, one file a batch."""
+    source = None
+    for _, source in in_parts(spark, sf_dir, "events", "event_id", 3, newest_first=True):
+        pass
+    return stream_windowed_report(spark, sf_dir, source=source)

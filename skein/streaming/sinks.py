@@ -1,26 +1,39 @@
 """Stream sources and sinks that keep results in the shared folder.
 
 ``run_available`` drains what is available (``availableNow``) into parquet
-below ``spark.checkpoint.dir`` and returns the written table:
+below a folder the caller names (or a fresh one below ``spark.checkpoint.dir``)
+and returns the written table.  Running it again with the same folder continues
+from the checkpoint: only new input is read.
   * append mode — the file sink (exactly-once through its commit log);
-  * update mode — ``foreachBatch`` appends each batch's changed rows with the
-    batch id; the table is the latest row per key (a re-run batch writes the
-    same rows again, so compaction stays correct).
+  * update mode — ``foreachBatch`` writes each batch's changed rows under the
+    batch id; the table is the latest row per key (a re-run batch overwrites
+    its own rows).
+It returns when the input is drained or raises what stopped the query.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from skein.session import scratch_path
 from skein.sources.tables import table_path
 
 
+def _status(spark: SparkSession, path: str):
+    """(file system, path) through Hadoop, so that remote paths work alike."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _status(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def read_stream(spark: SparkSession, sf_dir: str, table: str,
                 schema: StructType | None = None, files_per_trigger: int | None = None
                 ) -> DataFrame:
@@ -31,43 +44,41 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str,
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    if os.path.isdir(path):
+    if is_folder(spark, path):
         return reader.parquet(path)
-    return reader.option("pathGlobFilter", os.path.basename(path)).parquet(sf_dir)
+    return reader.option("pathGlobFilter", path.rsplit("/", 1)[-1]).parquet(sf_dir)
 
 
-def _empty_like(spark: SparkSession, schema: StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def read_written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A sink's table; empty only if no batch has made its folder.  Any other
+    failure to read it is raised."""
+    if not is_folder(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append",
-                  keys: Sequence[str] = (), timeout_s: float | None = None) -> DataFrame:
+                  keys: Sequence[str] = (), base: str | None = None) -> DataFrame:
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     data, ckpt = f"{base}/data", f"{base}/_checkpoint"
     if mode == "append":
         q = (stream.writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start(data))
-        q.awaitTermination(timeout_s)
-        try:
-            return spark.read.schema(stream.schema).parquet(data)
-        except Exception:  # noqa: BLE001 - no batch arrived, nothing written
-            return _empty_like(spark, stream.schema)
+        q.awaitTermination()
+        return read_written(spark, data, stream.schema)
     if mode != "update" or not keys:
         raise ValueError("update mode needs key columns")
     cols = [c for c in stream.columns if c not in keys]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(data)
+        batch.write.mode("overwrite").parquet(f"{data}/batch_id={batch_id}")
 
     q = (stream.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    schema = StructType(list(stream.schema.fields) + [StructField("_batch", LongType())])
-    try:
-        log = spark.read.schema(schema).parquet(data)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return _empty_like(spark, stream.schema)
+    q.awaitTermination()
+    schema = StructType(list(stream.schema.fields) + [StructField("batch_id", IntegerType())])
+    log = read_written(spark, data, schema)
     latest = log.groupBy(*keys).agg(
-        F.max_by(F.struct(*cols), F.col("_batch")).alias("_v"))
+        F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v"))
     return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in cols])

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import vectors as V
+from skein.operators import ledger as LG
 from skein.operators import designs as DS
 from skein.operators import embed as EM
 from skein.operators import fingerprint as FP
@@ -84,9 +85,33 @@ def test_motif_paths_agree(spark):
     hof = {r[0]: r[1] for r in df.select("i", V.motif_repeats("t")).collect()}
     udf = {r[0]: r[1] for r in df.select("i", V.motif_repeats_text("t")).collect()}
     local = {r[0]: r[1] for r in DS.motif_repeats_long(df, ["i"], "t").collect()}
-    spread = {r[0]: r[1] for r in DS.motif_repeats_long(df, ["i"], "t",
-                                                        max_local_chars=-1).collect()}
-    assert hof == expect and udf == expect and local == expect and spread == expect
+    assert hof == expect and udf == expect and local == expect
+
+
+def test_motif_repeats_of_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "ABABAB"), (1, "ABABAB"), (None, "ABABAB"), (2, None)], "i int, t string")
+    got = sorted(((r[0], r[1]) for r in DS.motif_repeats_long(df, ["i"], "t").collect()), key=repr)
+    n = brute_repeats("ABABAB")
+    assert got == sorted([(1, n), (1, n), (None, n), (2, None)], key=repr) and n > 0
+    long = spark.createDataFrame([(1, "ACDE" * 300_000)], "i int, t string")
+    assert DS.motif_repeats_long(long, "i", "t").head()["repeats"] > 3_000_000
+
+
+def test_prior_counts_beyond_one_range_of_steps(spark):
+    rows = [(s * 700, p, k) for s in range(40) for p, k in enumerate(["a", None, "a", "b"])]
+    df = spark.createDataFrame(rows, "step long, pos long, generate_seq string")
+    seen, want = {}, []
+    for s, p, k in sorted(rows, key=lambda r: r[:2]):
+        want.append((s, p, seen.get(k, 0)))
+        seen[k] = seen.get(k, 0) + 1
+    out = LG.prior_counts(df)
+    assert sorted((r.step, r.pos, r.prior_count) for r in out.collect()) == want
+    import re
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line:           # never the key alone
+            part = re.findall(r"\], \[([^\]]*)\], \[", line)[0]
+            assert part.count("#") >= 2, line
 
 
 def test_mean_pool_drops_first_and_last(spark):

@@ -6,14 +6,16 @@ from tests.conftest import SF_SMALL
 
 from __spark_entry__ import queries
 
-QUERIES = queries()
+from skein.plans.catalog import REGISTRY  # noqa: E402
+
+QUERIES = {k: v for k, v in queries().items() if k in REGISTRY}
 # Python crosses only where the survey allows it: the 3-decimal confidence
 # text, the long-text motif counter, the batched numpy scorer
 # (predict_batch_udf), the stateful running count and the optional pandas
 # embedder.  Format checks and answer scoring (J07/J08) never cross.
 PYTHON_ALLOWED = {"soft_label_prompts", "soft_label_given", "motif_repetition_text",
                   "stream_running_count", "pair_scores", "design_total", "ledger_last",
-                  "ledger_running_count"}
+                  "ledger_running_count", "motif_repetition_documents"}
 
 
 def plan_of(df) -> str:
