@@ -40,6 +40,15 @@ def training_table(with_vectors: DataFrame, key: str, label: str = "label",
                     split_column(key).alias("split")))
 
 
+def split_report(with_vectors: DataFrame, key: str, label: str = "label",
+                 features: str = "features") -> DataFrame:
+    """Per split: rows to train on, positive ones, and rows dropped by JN3."""
+    has = F.col(features).isNotNull()
+    return with_vectors.groupBy(split_column(key).alias("split")).agg(
+        F.count_if(has).alias("n"), F.count_if(has & (F.col(label) == 1)).alias("n_positive"),
+        F.count_if(~has).alias("n_dropped"))
+
+
 def fit_pair_classifier(train: DataFrame, input_dim: int, hidden: Sequence[int] = (HIDDEN,),
                         max_iter: int = MAX_ITER, seed: int = 42):
     mlp = MultilayerPerceptronClassifier(layers=[input_dim, *hidden, 2], maxIter=max_iter,

@@ -23,12 +23,19 @@ ADVANTAGE_EPS = 1e-4   # added to the group standard deviation
 def reward_report(scored: DataFrame, by: Sequence[str] = ("step",),
                   value: str = "total_reward",
                   components: Sequence[str] = ("format_reward", "mention_reward",
-                                               "answer_reward")) -> DataFrame:
+                                               "answer_reward"),
+                  spread: bool = False) -> DataFrame:
+    """Count, mean, bounds, deviation and approximate median of the total
+    (exact up to 10 000 values a group) and the means of the components;
+    ``spread`` adds bounds and approximate median of each component."""
     aggs = [F.count(F.lit(1)).alias("n"),
             F.avg(value).alias("mean_total"), F.min(value).alias("min_total"),
             F.max(value).alias("max_total"), F.stddev_samp(value).alias("std_total"),
             F.percentile_approx(value, 0.5, 10000).alias("median_total")]
     aggs += [F.avg(c).alias(f"mean_{c}") for c in components]
+    for c in components if spread else ():
+        aggs += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"),
+                 F.percentile_approx(c, 0.5, 10000).alias(f"approx_median_{c}")]
     return scored.groupBy(*by).agg(*aggs)
 
 

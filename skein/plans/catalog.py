@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from skein.functions import numeric as NU
 from skein.functions import vectors as FV
+from skein.functions.text import RESIDUES
 from skein.operators import answers, formatting
 from skein.operators import classifier as CL
 from skein.operators import designs as DS
@@ -28,8 +29,9 @@ from skein.operators import report as RP
 from skein.operators import scoring as SC
 from skein.operators import vectors as VE
 from skein.operators import votes as VO
+from skein.schemas import CYCLE_SCHEMA
 from skein.sources import fixtures as fx
-from skein.sources.prompts import union_by_name
+from skein.sources.prompts import read_cycles, read_prompt_files, union_by_name
 from skein.streaming import rewards as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,3 +426,148 @@ def stream_ledger_resumed(spark, sf):
 @register("stream_windowed_report_batches")
 def stream_windowed_report_batches(spark, sf):
     return round_doubles(STR.stream_windowed_report_batches(spark, sf))
+
+
+# ---- tables written and read back, joins and reports a user runs --------------
+
+
+def _folder(spark, name: str) -> str:
+    from skein.session import scratch_path
+    return scratch_path(spark, name)
+
+
+@register("scored_from_prompts")
+def scored_from_prompts(spark, sf):
+    """JN10: one prompt per conversation (of its first turn), many completions."""
+    comp = fx.completions(spark, sf)
+    fields = ["keywords", "classes", "class_confidences"]
+    prompts = comp.groupBy("conv_id").agg(F.min_by(F.struct(*fields), "turn").alias("p")) \
+        .select("conv_id", "p.*")
+    joined = answers.attach_prompts(comp.drop(*fields), prompts, "conv_id")
+    return round_doubles(answers.score_answers(joined, keep=["conv_id", "turn", "step"]))
+
+
+@register("prompts_from_csv")
+def prompts_from_csv(spark, sf):
+    """Two prompt tables as CSV with their own headers, read by name."""
+    paths = []
+    for name, frame in (("pairs", fx.pair_prompts(spark, sf)), ("docs", fx.doc_prompts(spark, sf))):
+        paths.append(f"{_folder(spark, 'prompts')}/{name}.csv")
+        frame.write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                            ignoreTrailingWhiteSpace=False).csv(paths[-1])
+    out = read_prompt_files(spark, paths)
+    return round_doubles(out.withColumns({c: F.col(c).cast("long") for c in ("pair_id", "doc_id")}))
+
+
+@register("cycles_from_files")
+def cycles_from_files(spark, sf):
+    """Files of one name in a folder per cycle."""
+    cycles, base = fx.design_cycles(spark, sf), _folder(spark, "cycles")
+    paths = {c: f"{base}/c{c}/designs.csv" for c in range(3)}
+    for c, path in paths.items():
+        cycles.filter(F.col("cycle") == c).select("generate_seq", "plddt") \
+            .write.option("header", True).csv(path)
+    return round_doubles(read_cycles(spark, paths, CYCLE_SCHEMA))
+
+
+@register("embedding_cache")
+def embedding_cache(spark, sf):
+    """Two runs append to one cache, the second only what it lacks."""
+    cycles, path = fx.design_cycles(spark, sf), f"{_folder(spark, 'cache')}/embeddings"
+    EM.append_embeddings(EM.embed_sequences(cycles.filter("cycle = 0"), "generate_seq"), path)
+    EM.append_embeddings(EM.embed_sequences(cycles, "generate_seq", cache=spark.read.parquet(path)), path)
+    return round_doubles(spark.read.parquet(path))
+
+
+def _composition_batch(seqs: list[str]) -> list[list[float]]:
+    return [[s.count(a) / len(s) for a in RESIDUES] for s in seqs]
+
+
+@register("composition_embeddings_pandas")
+def composition_embeddings_pandas(spark, sf):
+    """The embedder plug-in over Arrow batches."""
+    return round_doubles(EM.embed_sequences(fx.designs(spark, sf), "seq",
+                                            embedder=EM.PandasEmbedder(_composition_batch)))
+
+
+@register("pairs_written")
+def pairs_written(spark, sf):
+    """The pair table written and read back."""
+    path = f"{_folder(spark, 'pairs')}/pairs"
+    PR.write_pairs(PR.cycle_pairs(fx.design_cycles(spark, sf), resolve="max"), path)
+    return spark.read.parquet(path)
+
+
+@register("ledger_from_batches")
+def ledger_from_batches(spark, sf):
+    """Scored designs appended in two batches, the ledger written as a snapshot."""
+    base = _folder(spark, "ledger")
+    scored = DS.score_designs(fx.design_completions(spark, sf), keep=["id"])
+    half = F.pmod(F.col("step"), F.lit(2))
+    for k in range(2):
+        LG.append_scored(scored.filter(half == k), f"{base}/scored")
+    LG.write_snapshot(LG.last_scores(spark.read.parquet(f"{base}/scored")), f"{base}/snapshot")
+    return round_doubles(spark.read.parquet(f"{base}/snapshot"))
+
+
+@register("judge_votes_written")
+def judge_votes_written(spark, sf):
+    """Judge responses appended, votes counted from the table."""
+    path = f"{_folder(spark, 'votes')}/responses"
+    VO.append_responses(fx.judge_responses(spark, sf), path)
+    return round_doubles(VO.vote_shares(spark.read.parquet(path)))
+
+
+@register("design_examples_written")
+def design_examples_written(spark, sf):
+    """Examples emitted as JSON lines and read back."""
+    path = f"{_folder(spark, 'examples')}/examples"
+    examples = PM.design_examples(fx.design_prompts(spark, sf))
+    PM.write_examples(examples, path, fmt="json")
+    return round_doubles(spark.read.schema(examples.schema).json(path))
+
+
+@register("pair_scores_stored_weights")
+def pair_scores_stored_weights(spark, sf):
+    """The scorer's weights written as a table and applied from it."""
+    path = f"{_folder(spark, 'scorer')}/weights"
+    SC.PairScorer.by_rule(64).to_table(spark).write.parquet(path)
+    vec = VE.attach_pair_vectors(fx.pairs(spark, sf), fx.seq_vectors(spark, sf))
+    out = SC.score_pairs(vec, SC.PairScorer.from_table(spark.read.parquet(path)))
+    return round_doubles(out.select("pair_id", "scored", "probability"))
+
+
+@register("design_total_cached")
+def design_total_cached(spark, sf):
+    """JN7: designs scored against a cache that holds one cycle's vectors."""
+    path = f"{_folder(spark, 'cache')}/embeddings"
+    EM.append_embeddings(EM.embed_sequences(fx.design_cycles(spark, sf).filter("cycle = 0"), "generate_seq"), path)
+    out = DS.score_designs(fx.design_completions(spark, sf), keep=["id"],
+                           embeddings=spark.read.parquet(path))
+    return round_doubles(out.select(*_DESIGN_OUT))
+
+
+@register("training_split")
+def training_split(spark, sf):
+    """JN3: rows, positives and rows dropped for want of a vector, by split."""
+    vec = VE.attach_pair_vectors(fx.pairs(spark, sf), fx.seq_vectors(spark, sf))
+    return CL.split_report(vec.withColumn("label", PR.pair_label()), "pair_id")
+
+
+_DESIGN_PARTS = ("format_reward", "mention_reward", "design_reward", "diversity_reward", "repetition_penalty")
+
+
+@register("design_report")
+def design_report(spark, sf):
+    """A15 in design mode, with the spread of every component."""
+    scored = DS.score_designs(fx.design_completions(spark, sf), keep=["id"])
+    return round_doubles(RP.reward_report(scored, by=["step"], components=_DESIGN_PARTS, spread=True))
+
+
+@register("design_trace")
+def design_trace(spark, sf):
+    """S10 in design mode: every 50th step with its completion and parts."""
+    comp = fx.design_completions(spark, sf)
+    scored = DS.score_designs(comp, keep=["id", "completion"])
+    return round_doubles(RP.reward_trace(scored, cols=["step", "pos", "id", "completion", "keywords", "generate_seq",
+                                                       *_DESIGN_PARTS, "total_reward"]))

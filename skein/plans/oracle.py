@@ -367,3 +367,62 @@ ORACLE["design_examples"] = S.ctes(("designs", S.DESIGNS), ("dp", S.DESIGN_PROMP
 select prompt_id, """ + S.prompt_text("system_prompt", "user_prompt") + """ as prompt, keywords,
   task, system_prompt, user_prompt, round(candidate_plddt, 6) as candidate_plddt, candidate
 from dp"""
+
+
+# ---- tables written and read back, joins and reports --------------------------
+
+_FIRST_PROMPT = """
+select conv_id, keywords, classes, class_confidences from completions
+qualify row_number() over (partition by conv_id order by turn) = 1"""
+
+ORACLE["scored_from_prompts"] = S.ctes(
+    ("completions", S.COMPLETIONS), ("prompts", _FIRST_PROMPT),
+    ("joined", "select c.conv_id, c.turn, c.step, c.completion, p.keywords, p.classes, p.class_confidences "
+               "from completions c join prompts p on p.conv_id = c.conv_id"),
+    ("x", "select conv_id, turn, step, " + _COMPOSITE + " as f, " + S.mention("completion", "keywords")
+          + " as m, " + _ANSWER + " as a from joined")) + (
+    "select conv_id, turn, step, round(f, 6) as format_reward, round(m, 6) as mention_reward, "
+    "round(a, 6) as answer_reward, round(" + S.asymmetric("a") + ", 6) as scaled_answer_reward, "
+    "round(0.5 * f + 2.5 * " + S.asymmetric("a") + " + 0.5 * m, 6) as total_reward from x")
+
+ORACLE["prompts_from_csv"] = S.ctes(*_PROMPTS, ("doc_prompts", S.DOC_PROMPTS)) + """
+select * from pair_prompts union all by name select * from doc_prompts"""
+
+ORACLE["cycles_from_files"] = S.ctes(("designs", S.DESIGNS), ("cycles", S.DESIGN_CYCLES)) + """
+select cycle::INT as cycle, generate_seq, plddt from cycles"""
+
+ORACLE["embedding_cache"] = ORACLE["composition_embeddings"]
+ORACLE["composition_embeddings_pandas"] = ORACLE["composition_embeddings"]
+ORACLE["pairs_written"] = ORACLE["sampled_partners"]
+ORACLE["ledger_from_batches"] = ORACLE["ledger_last"]
+ORACLE["judge_votes_written"] = ORACLE["judge_votes"]
+ORACLE["design_examples_written"] = ORACLE["design_examples"]
+ORACLE["pair_scores_stored_weights"] = ORACLE["pair_scores"]
+ORACLE["design_total_cached"] = ORACLE["design_total"]
+
+ORACLE["training_split"] = S.ctes(*_BASE, ("pv", _PAIR_VECS)) + """
+select case when ('0x' || substr(md5(pair_id::VARCHAR), 1, 8))::BIGINT % 100 < 80 then 'train'
+       else 'validation' end as split, count(*) filter (has_vectors) as n,
+  count(*) filter (has_vectors and seqA_plddt > seqB_plddt) as n_positive,
+  count(*) filter (not has_vectors) as n_dropped
+from pv group by all"""
+
+_DESIGN_PARTS = ["format_reward", "mention_reward", "design_reward", "diversity_reward", "repetition_penalty"]
+
+ORACLE["design_report"] = S.ctes(*_DESIGN_CTES) + """
+select step, count(*) as n, round(avg(total_reward), 6) as mean_total,
+  round(min(total_reward), 6) as min_total, round(max(total_reward), 6) as max_total,
+  round(stddev_samp(total_reward), 6) as std_total,
+  round(quantile_disc(total_reward, 0.5), 6) as median_total, """ + ", ".join(
+    f"round(avg({c}), 6) as mean_{c}, round(min({c}), 6) as min_{c}, round(max({c}), 6) as max_{c}, "
+    f"round(quantile_disc({c}, 0.5), 6) as approx_median_{c}" for c in _DESIGN_PARTS) + """
+from scored group by step"""
+
+_DESIGN_TRACED = S.ctes(*_DC, ("rows", _DESIGN_ROWS.replace("candidate,", "candidate, completion, keywords,")),
+                        ("scored", _DESIGN_SCORED))
+ORACLE["design_trace"] = _DESIGN_TRACED + """
+select step, pos, id, completion, keywords, generate_seq, """ + ", ".join(
+    f"round({c}, 6) as {c}" for c in [*_DESIGN_PARTS, "total_reward"]) + """,
+  """ + S.binary_answer("completion") + """ as answer,
+  substring(""" + S.think_text("completion") + """, 1, 100) as think_head
+from scored where step % 50 = 0"""

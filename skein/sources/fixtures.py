@@ -2,8 +2,9 @@
 
 The reference ships no data; these recipes turn ``conversations``,
 ``embeddings``, ``documents`` and ``labels`` into completions, designs,
-pairs and prompts.  Every row of the source tables is used: the modulo
-expressions below pick a *variant* per row, they never filter rows out.
+pairs and prompts.  The modulo expressions below pick a *variant* or partner per
+row, they filter nothing out; completions come from assistant turns, partners by
+number suppose ids 0 to n - 1.
 """
 
 from __future__ import annotations

@@ -36,7 +36,7 @@ def read_prompt_csv(spark: SparkSession, paths: str | Sequence[str],
 
 def read_prompt_files(spark: SparkSession, paths: Sequence[str],
                       schema: StructType = PROMPT_SCHEMA) -> DataFrame:
-    """Read a mix of ``.csv`` and parquet paths; CSV ones in one scan."""
+    """Read a mix of ``.csv`` and parquet paths, aligned by column name."""
     csv = [p for p in paths if p.lower().endswith(".csv")]
     other = [p for p in paths if not p.lower().endswith(".csv")]
     parts = []
