@@ -203,15 +203,16 @@ def starts_with_think(x) -> Column:
     return strip(x).startswith("<think>").cast("int")
 
 
-def binary_answer(x) -> Column:
+def binary_answer(x, blocks: Column | None = None) -> Column:
     """tri-state yes/no from the first answer block, else the whole text.
 
     First block: contains "yes" → true, else contains "no" → false.  If the
     block has neither (or there is none): whole text with exactly one of
-    "yes"/"no"; both or neither → null.
+    "yes"/"no"; both or neither → null.  ``blocks``: the answer blocks, where
+    they are already a column.
     """
     t = _c(x)
-    first = F.lower(F.get(answer_blocks(t), 0))
+    first = F.lower(F.get(answer_blocks(t) if blocks is None else blocks, 0))
     whole = F.lower(t)
     has_yes = F.contains(whole, F.lit("yes"))
     has_no = F.contains(whole, F.lit("no"))
@@ -222,13 +223,15 @@ def binary_answer(x) -> Column:
             .otherwise(fallback))
 
 
-def designed_sequence(x) -> Column:
+def designed_sequence(x, block: Column | None = None) -> Column:
     """F16: struct(seq, valid) from the first answer block.
 
     Block stripped and every character a residue → (text, true); otherwise
     (null, false); no block → (null, null).  An empty block is valid.
+    ``block``: the stripped first block, where it is already a column.
     """
-    block = strip(F.get(answer_blocks(x), 0))
+    if block is None:
+        block = strip(F.get(answer_blocks(x), 0))
     valid = block.rlike(rf"\A[{RESIDUES}]*\z")
     return F.struct(F.when(valid, block).alias("seq"), valid.alias("valid"))
 
@@ -238,14 +241,16 @@ def keyword_list(k) -> Column:
     return F.filter(F.split(F.coalesce(_c(k), F.lit("")), r"\|"), lambda s: s != "")
 
 
-def keyword_mention(x, keywords, design_mode: bool = False) -> Column:
+def keyword_mention(x, keywords, design_mode: bool = False, think: Column | None = None) -> Column:
     """F17 (answer mode) / F18 (design mode: exactly one found → 1.0).
 
     No keywords → 1.0; empty think text → 0.0; otherwise the share of
-    keywords contained (case-sensitive) in the think text.
+    keywords contained (case-sensitive) in the think text.  ``think``: that
+    text, where it is already a column.
     """
     kw = keyword_list(keywords)
-    think = think_text(x)
+    if think is None:
+        think = think_text(x)
     found = F.size(F.filter(kw, lambda k: F.contains(think, k)))
     share = found / F.size(kw)
     if design_mode:
@@ -256,13 +261,14 @@ def keyword_mention(x, keywords, design_mode: bool = False) -> Column:
             .otherwise(share))
 
 
-def answer_confidence(x, classes, confidences) -> Column:
+def answer_confidence(x, classes, confidences, answer: Column | None = None) -> Column:
     """confidence of the class equal to the extracted answer.
 
     Classes are stripped and lower-cased; the first match wins; a match past
     the end of the confidences list (zip truncation) or no answer → 0.0.
+    ``answer``: the extracted answer, where it is already a column.
     """
-    ans = binary_answer(x)
+    ans = binary_answer(x) if answer is None else answer
     word = F.when(ans, F.lit("yes")).when(~ans, F.lit("no"))
     cls = F.transform(F.split(_c(classes), r"\|"), lambda c: F.lower(strip(c)))
     conf = F.split(_c(confidences), r"\|")

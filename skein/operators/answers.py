@@ -22,12 +22,16 @@ def score_answers(df: DataFrame, keep: Sequence[str] = (), text_col: str = "comp
                   use_go: bool = False) -> DataFrame:
     """Per completion: format, mention, answer, scaled answer and total."""
     cols = list(dict.fromkeys([*keep, "keywords", "classes", "class_confidences"]))
-    fmt = format_checks(df, text_col, keep=[*cols, text_col], use_go=use_go)
     t = F.col(text_col)
-    answer = T.answer_confidence(t, "classes", "class_confidences")
+    # blocks, think text and answer are columns, so that each is made once a row
+    fmt = format_checks(df, text_col, keep=dict.fromkeys([*cols, text_col]), use_go=use_go, blocks=True) \
+        .select(*dict.fromkeys([*cols, text_col]), "format_reward",
+                F.array_join("_think", " ").alias("_think"),
+                T.binary_answer(t, F.col("_answers")).alias("_answer"))
+    answer = T.answer_confidence(t, "classes", "class_confidences", F.col("_answer"))
     scored = fmt.select(
         *keep, "format_reward",
-        T.keyword_mention(t, "keywords").alias("mention_reward"),
+        T.keyword_mention(t, "keywords", think=F.col("_think")).alias("mention_reward"),
         answer.alias("answer_reward"))
     scaled = N.asymmetric_reward("answer_reward")
     return scored.select(

@@ -62,11 +62,15 @@ def score_designs(df: DataFrame, scorer: PairScorer | None = None,
     last reward, so the penalty is always 0) or ``running_count``."""
     t = F.col(text_col)
     cols = list(dict.fromkeys([*keep, "step", "pos", keywords, reference]))
-    fmt = format_checks(df, text_col, keep=[*cols, text_col])
-    ds = T.designed_sequence(t)
+    # blocks and think text are columns, so that each is made once a row
+    fmt = format_checks(df, text_col, keep=dict.fromkeys([*cols, text_col]), blocks=True) \
+        .select(*dict.fromkeys([*cols, text_col]), "format_reward",
+                F.array_join("_think", " ").alias("_think"),
+                T.strip(F.get("_answers", 0)).alias("_block"))
+    ds = T.designed_sequence(t, F.col("_block"))
     rows = fmt.select(
         *cols, "format_reward",
-        T.keyword_mention(t, keywords, design_mode=True).alias("mention_reward"),
+        T.keyword_mention(t, keywords, design_mode=True, think=F.col("_think")).alias("mention_reward"),
         ds["seq"].alias("generate_seq"), ds["valid"].alias("valid"))
 
     gated = in_gate("generate_seq")

@@ -44,19 +44,22 @@ def _checks(t: Column, think: Column, stripped: Column, tags: Column) -> dict[st
 
 
 def format_checks(df: DataFrame, text_col: str = "completion", keep: Sequence[str] = (),
-                  use_go: bool = False) -> DataFrame:
+                  use_go: bool = False, blocks: bool = False) -> DataFrame:
     """Per row: the eleven composite terms and ``format_reward``.
 
     ``use_go`` drops the last term (starts-with-think) and divides by 10.
+    ``blocks`` adds the extracted blocks as ``_think`` and ``_answers``, for
+    scores that need them as well.
     """
     t = F.col(text_col)
     inner = df.select(*keep, t.alias("_t"), T.think_blocks(t).alias("_think"),
-                      T.strip(t).alias("_stripped"), T.all_tags(t).alias("_tags"))
+                      T.strip(t).alias("_stripped"), T.all_tags(t).alias("_tags"),
+                      *[T.answer_blocks(t).alias("_answers")] * blocks)
     checks = _checks(F.col("_t"), F.col("_think"), F.col("_stripped"), F.col("_tags"))
     names = list(CHECKS[:-1] if use_go else CHECKS)
     composite = sum((checks[n] for n in names[1:]), checks[names[0]]) / len(names)
     return inner.select(*keep, *[checks[n].alias(n) for n in names],
-                        composite.alias("format_reward"))
+                        composite.alias("format_reward"), *["_think", "_answers"] * blocks)
 
 
 def format_report(checked: DataFrame, by: Sequence[str]) -> DataFrame:

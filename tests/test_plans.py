@@ -15,7 +15,8 @@ QUERIES = {k: v for k, v in queries().items() if k in REGISTRY}
 # embedder.  Format checks and answer scoring (J07/J08) never cross.
 PYTHON_ALLOWED = {"soft_label_prompts", "soft_label_given", "motif_repetition_text",
                   "stream_running_count", "pair_scores", "design_total", "ledger_last",
-                  "ledger_running_count", "motif_repetition_documents"}
+                  "ledger_running_count", "motif_repetition_documents", "composition_embeddings_pandas",
+                  "pair_scores_stored_weights", "design_total_cached", "design_report", "design_trace"}
 
 
 def plan_of(df) -> str:
@@ -60,3 +61,12 @@ def test_mean_pool_and_ledger_have_no_hot_key_window(spark):
     assert "HashAggregate" in plan or "ObjectHashAggregate" in plan
     plan = plan_of(QUERIES["ledger_last"](spark, SF_SMALL))
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["answer_total", "scored_from_prompts", "group_advantage"])
+def test_blocks_are_extracted_once_a_scan(spark, name):
+    from skein.functions.text import ANSWER_BLOCK_CI, THINK_BLOCK_CI
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    scans = plan.count("Relation [")
+    for pattern in (THINK_BLOCK_CI, ANSWER_BLOCK_CI):
+        assert 1 <= plan.count(f", {pattern}, ") <= scans, pattern
