@@ -49,15 +49,16 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 def able(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The members that can still have a link among these members: an item that
     no other member's set holds is in no intersection, so a set needs a share of
-    num / den of items that others hold too.  Exact; buckets left with one id
-    are dropped."""
-    ids = members.select("id").distinct()
-    own = sets.join(ids, "id", "left_semi").select("id", F.size("items").alias("size"),
-                                                   F.explode("items").alias("x"))
-    common = own.groupBy("x").agg(F.min("id").alias("lo"), F.max("id").alias("hi")) \
-        .filter("lo <> hi").select("x")
-    fit = own.join(common, "x", "left_semi").groupBy("id", "size").agg(F.count("*").alias("c")) \
-        .filter(F.col("c") * den >= F.col("size") * num).select("id")
+    num / den of items that others hold too.  Items of one id alone are counted
+    where they are grouped, so that only the counts travel back.  Exact, also
+    where an id has several sets."""
+    own = sets.join(members.select("id").distinct(), "id", "left_semi")
+    sizes = own.groupBy("id").agg(F.sum(F.size("items")).alias("total"), F.min(F.size("items")).alias("least"))
+    lone = own.select("id", F.explode("items").alias("x")).groupBy("x") \
+        .agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi") \
+        .groupBy("id").agg(F.count("*").alias("lone"))
+    fit = sizes.join(lone, "id", "left") \
+        .filter((F.col("total") - F.coalesce("lone", F.lit(0))) * den >= F.col("least") * num).select("id")
     return members.join(written(fit, "fit"), "id", "left_semi")
 
 
