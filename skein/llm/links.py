@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .marks import maybe_in
 from .store import written
 
 #: Items of the sets that one block holds.
@@ -24,11 +25,13 @@ BLOCK_ITEMS = 1 << 18
 
 def colliding(buckets: DataFrame) -> DataFrame:
     """Rows (key, id) of buckets with at least two ids, and the bucket's size
-    and smallest id.  Sizes are counted before the shuffle; the join hashes the
-    few buckets that collide instead of sorting all rows."""
-    many = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")) \
+    and smallest id.  Keys are counted before the shuffle; a bitmap of those that
+    stand twice takes out most rows before they are shuffled with their ids."""
+    twice = written(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "twice")
+    rest = written(maybe_in(buckets, "key", twice), "rest")
+    many = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")) \
         .filter("n > 1")
-    return buckets.join(many.hint("shuffle_hash"), "key")
+    return rest.join(many.hint("shuffle_hash"), "key")
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
