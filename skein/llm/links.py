@@ -21,6 +21,16 @@ from .store import written
 
 #: Items of the sets that one block holds.
 BLOCK_ITEMS = 1 << 18
+#: 64-bit words of the bitmap that a set may carry.
+WORDS = 4
+
+
+def bitmap(item: str) -> Column:
+    """Aggregate: bitmap of the hashed items of a set, as WORDS longs."""
+    h = F.col(item)
+    word = F.pmod(F.shiftright(h, 6), F.lit(WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    return F.array(*[F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")) for k in range(WORDS)])
 
 
 def colliding(buckets: DataFrame) -> DataFrame:
@@ -34,10 +44,34 @@ def colliding(buckets: DataFrame) -> DataFrame:
     return rest.join(many.hint("shuffle_hash"), "key")
 
 
+def _sets_of(ids: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The rows of ``sets`` of distinct ``ids``.  The join is an inner one, as a
+    semi join would be pushed below the bitmap."""
+    ids = written(ids, name)
+    return maybe_in(sets, "id", ids).join(ids, "id")
+
+
+def _lone(x: Column, y: Column, words: int) -> Column:
+    """Least number of items of x that y lacks: bits that are set in x only."""
+    bits = [F.bit_count(x[k].bitwiseAND(F.bitwise_not(y[k]))) for k in range(words)]
+    return sum(bits[1:], bits[0])
+
+
+def _near_enough(x: Column, y: Column, num: int, den: int) -> Column:
+    """False only if sizes and bitmaps prove the similarity to be too low."""
+    common = F.least(x["size"] - _lone(x["bits"], y["bits"], WORDS), y["size"] - _lone(y["bits"], x["bits"], WORDS))
+    return common * (den + num) >= (x["size"] + y["size"]) * num
+
+
 def jaccard_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets (id, items) have den * intersection >= num * union."""
-    need = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
-    used = sets.join(need, "id", "left_semi")
+    """Pairs (a, b) whose sets (id, items) have den * intersection >= num * union.
+    Where ``sets`` has bitmaps, pairs that these rule out need no sets."""
+    if "bits" in sets.columns:
+        thin = sets.select("id", F.struct("size", "bits").alias("s"))
+        pairs = written(pairs.join(thin.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+                        .join(thin.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+                        .filter(_near_enough(F.col("x"), F.col("y"), num, den)).select("a", "b"), "near")
+    used = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), sets, "need")
     left = used.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = used.select(F.col("id").alias("b"), F.col("items").alias("y"))
     nx, ny = F.size("x"), F.size("y")
@@ -55,7 +89,7 @@ def able(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     num / den of items that others hold too.  Items of one id alone are counted
     where they are grouped, so that only the counts travel back.  Exact, also
     where an id has several sets."""
-    own = sets.join(members.select("id").distinct(), "id", "left_semi")
+    own = _sets_of(members.select("id").distinct(), sets, "ids")
     sizes = own.groupBy("id").agg(F.sum(F.size("items")).alias("total"), F.min(F.size("items")).alias("least"))
     lone = own.select("id", F.explode("items").alias("x")).groupBy("x") \
         .agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi") \
@@ -73,7 +107,8 @@ def linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """Components (id, root) of the true links among the members of buckets.
 
     ``members``: key, id, n, centre as given by :func:`colliding`; ``sets``: id,
-    items for every member."""
+    items for every member, and, where one row is one id's whole set, size and
+    bits (see :func:`bitmap`)."""
     tested = written(members.filter("id <> centre").select(*_pair(F.col("id"), F.col("centre"))).distinct(),
                      "pairs")
     links = written(jaccard_links(tested, sets, num, den), "verified")
@@ -103,15 +138,17 @@ def _across(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     only: pairs are never rows."""
     clouds = components(rest.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
     nodes = rest.groupBy("id").agg(F.min("root").alias("root"), F.collect_set("key").alias("keys")) \
-        .join(clouds.select("id", F.col("root").alias("cloud")), "id").join(sets, "id")
-    nodes = written(nodes, "nodes")
+        .join(clouds.select("id", F.col("root").alias("cloud")), "id")
+    own = _sets_of(rest.select("id").distinct(), sets, "ids")
+    nodes = written(nodes.join(own, "id"), "nodes")
+    what = ["id", "root", "keys", "items"] + [c for c in ("size", "bits") if c in sets.columns]
     volume = written(nodes.groupBy("cloud").agg(F.sum(F.size("items")).alias("volume")), "volume")
     dealt = nodes.join(volume, "cloud") \
         .withColumn("blocks", F.ceil(F.col("volume") / BLOCK_ITEMS).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     packed = written(dealt.groupBy("cloud", "block").agg(
         F.max("blocks").alias("blocks"),
-        F.collect_list(F.struct("id", "root", "keys", "items")).alias("own")), "blocks")
+        F.collect_list(F.struct(*what)).alias("own")), "blocks")
     left = packed.select("cloud", F.col("block").alias("i"), F.col("own").alias("xs"),
                          F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     right = packed.select("cloud", "block", F.col("own").alias("ys"))
@@ -119,8 +156,9 @@ def _across(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def link(x: Column, y: Column) -> Column:
         nx, ny = F.size(x["items"]), F.size(y["items"])
         common = F.size(F.array_intersect(x["items"], y["items"]))
+        able = _near_enough(x, y, num, den) if "bits" in what else F.lit(True)
         return (x["root"] != y["root"]) & ((F.col("i") != F.col("block")) | (x["id"] < y["id"])) \
-            & (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) \
+            & (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & able \
             & F.arrays_overlap(x["keys"], y["keys"]) & (common * (den + num) >= (nx + ny) * num)
 
     found = F.flatten(F.transform("xs", lambda x: F.transform(
