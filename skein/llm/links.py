@@ -88,8 +88,9 @@ def able(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     no other member's set holds is in no intersection, so a set needs a share of
     num / den of items that others hold too.  Items of one id alone are counted
     where they are grouped, so that only the counts travel back.  Exact, also
-    where an id has several sets."""
-    own = _sets_of(members.select("id").distinct(), sets, "ids")
+    where an id has several sets or where sets of other ids come along: both
+    only let more members stay."""
+    own = maybe_in(sets, "id", written(members.select("id").distinct(), "ids"))
     sizes = own.groupBy("id").agg(F.sum(F.size("items")).alias("total"), F.min(F.size("items")).alias("least"))
     lone = own.select("id", F.explode("items").alias("x")).groupBy("x") \
         .agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi") \
