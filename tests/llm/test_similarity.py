@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from skein.llm import embed_dedup, line_dedup, near_dup, quality, queries, repeats
 from skein.llm.components import components
-from skein.llm.links import colliding, linked
+from skein.llm.links import bitmap, colliding, jaccard_links, linked
+from skein.llm.marks import maybe_in
+from skein.llm.store import written
 from tests.conftest import SF_CHECK, SF_SMALL
 
 from . import brute
@@ -74,6 +76,31 @@ def check_near(rows, by_id):
     assert len(rows) == len(by_id)
 
 
+def test_bitmap_lets_every_key_through(spark):
+    rows = spark.range(200000).selectExpr("if(id = 5, null, id) AS id", "'x' AS y")
+    for n in (0, 1, 3000):
+        keys = written(spark.range(n).selectExpr("id * 7 AS k"), "keys")
+        left = {r.id for r in maybe_in(rows, "id", keys).collect()}
+        assert {7 * i for i in range(n)} <= left
+        assert len(left) <= n + 200000 / 16
+    assert maybe_in(rows.limit(0), "id", keys).count() == 0
+
+
+def test_bitmaps_of_sets_keep_every_true_pair(spark):
+    rng = random.Random(5)
+    base = [[rng.getrandbits(62) - 2 ** 61 for _ in range(n)] for n in (1, 2, 5, 40, 400)]
+    own = [b[:len(b) - k] + [rng.getrandbits(62) for _ in range(extra)]
+           for b in base for k in range(min(3, len(b))) for extra in range(3)]
+    items = spark.createDataFrame([(i, x) for i, xs in enumerate(own) for x in xs], "id long, h long")
+    sets = items.groupBy("id").agg(F.collect_set("h").alias("items"), bitmap("h").alias("bits")) \
+        .withColumn("size", F.size("items"))
+    pairs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own))]
+    got = jaccard_links(spark.createDataFrame(pairs, "a long, b long"), written(sets, "sets"), 80, 100)
+    true = {(i, j) for i, j in pairs
+            if 100 * len(set(own[i]) & set(own[j])) >= 80 * len(set(own[i]) | set(own[j]))}
+    assert {(r.a, r.b) for r in got.collect()} == true and true
+
+
 def test_near_duplicates_equal_brute_force(spark):
     check_near(queries.op8_near_duplicates(spark, SF_CHECK).collect(), texts(documents(spark)))
 
