@@ -1,19 +1,18 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by exact windows at shared minimisers.
 
 A passage is a run of at least ``LEAST`` = 50 words (A-Z lower-cased, words cut
-at x20 and x09-x0D) that also stands in another document.  Suffixes are kept only
-at positions that the content selects: the minimiser (smallest hash) of every
-run of 35 grams of 16 words.  A run of 50 words has 35 grams, so each passage
-holds a kept position, at the same place in all its copies.
-
-Kept positions whose gram stands in one document only are set aside by a grouped
-count.  The others get their words on both sides (34 each way, which is all a run
-of 50 words around a gram can need) and are sorted as suffixes, over the whole
-cluster by range, so that a passage in very many documents is spread over many
-tasks.  Each suffix is compared with its neighbours from other documents and the
-match is extended to the right and to the left; 50 words or more make a span.  The
-same is done in the order of the words before the gram, so that a neighbour with a
-longer match to the left isn't hidden.  Spans of a document that overlap are merged.
+at x20 and x09-x0D) that also stands in another document.  A window of 50 words
+has 35 grams of 16 words; the place of its smallest one (the first, on ties) owns
+it.  The owner depends on the window's words alone, so all copies of a window are
+owned by the same gram at the same place in them.
+
+Owners whose gram stands in one document only are set aside by a grouped count.
+The windows of each of the others are consecutive and are hashed one by one.
+Owners with the same windows are one group: if it holds two documents, all its
+windows are passages.  One member of each group hands on its windows, which are
+counted by hash, so that any two equal windows of different documents meet,
+whatever stands around them; this settles the windows of the groups of one
+document.  Windows of a document that overlap are merged.
 
 Documents with the same sequence of words are one class; only the first is
 searched, and each of them is a passage as a whole.
@@ -33,17 +32,20 @@ from .store import written
 
 LEAST, GRAM = 50, 16
 RUN = LEAST - GRAM + 1
-SIDE = LEAST - GRAM
 
 
-def selected(grams: np.ndarray) -> np.ndarray:
-    """Positions of the smallest gram (the first, on ties) of each run of RUN."""
+def owners(grams: np.ndarray) -> np.ndarray:
+    """Position of the smallest gram (the first, on ties) of each run of RUN."""
     if len(grams) < RUN:
         return np.zeros(0, np.int64)
     runs = np.lib.stride_tricks.sliding_window_view(grams, RUN)
-    out = [np.unique(lo + np.arange(len(part)) + part.argmin(axis=1))
-           for lo, part in ((lo, runs[lo:lo + 65536]) for lo in range(0, len(runs), 65536))]
-    return np.unique(np.concatenate(out))
+    return np.concatenate([lo + np.arange(len(part)) + part.argmin(axis=1)
+                           for lo, part in ((lo, runs[lo:lo + 65536]) for lo in range(0, len(runs), 65536))])
+
+
+def selected(grams: np.ndarray) -> np.ndarray:
+    """Positions that own a window."""
+    return np.unique(owners(grams))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,152 +69,56 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "n_words", "h1", "h2", "grams", "places"])
 
 
-SUFFIX = "gram long, after binary, before binary, n_after int, n_before int, doc_id long, place int"
+WINDOWS = "doc_id long, start int, windows array<long>, same long"
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per wanted place the first of the windows it owns, their hashes, and a
+    hash of them all."""
     for batch in batches:
         for lo, hi, buf, offs in kernel.text_blocks(batch.column(1)):
             words, at = kernel.word_hashes(buf, offs)
+            grams, whole = kernel.gram_hashes(words, GRAM), kernel.gram_hashes(words, LEAST)
             places = batch.column(2).slice(lo, hi - lo)
-            n = np.array([len(p) for p in places.to_pylist()])
-            flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            text = np.repeat(np.arange(hi - lo), n)
-            here = at[:-1][text] + flat
-            short = (words >> np.uint64(32)).astype(">u4")
-            padded = np.concatenate([np.zeros(SIDE, ">u4"), short, np.zeros(SIDE + GRAM, ">u4")])
-            n_before = np.minimum(flat, SIDE)
-            n_after = np.minimum(np.diff(at)[text] - flat - GRAM, SIDE)
-            step = np.arange(SIDE)
-            grams = kernel.gram_hashes(words, GRAM)
-            for s in range(0, len(here), 8192):
-                e = slice(s, s + 8192)
-                after = padded[SIDE + here[e, None] + GRAM + step]
-                after[step >= n_after[e, None]] = 0
-                before = padded[SIDE + here[e, None] - 1 - step]
-                before[step >= n_before[e, None]] = 0
-                gram = grams[here[e]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), _binary(after), _binary(before),
-                     pa.array(n_after[e].astype(np.int32)), pa.array(n_before[e].astype(np.int32)),
-                     batch.column(0).slice(lo, hi - lo).take(pa.array(text[e])),
-                     pa.array(flat[e].astype(np.int32))],
-                    names=["gram", "after", "before", "n_after", "n_before", "doc_id", "place"])
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    size = rows.shape[1] * 4
-    offs = (np.arange(len(rows) + 1) * size).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(rows),
-                                       [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-class Suffixes:
-    """Columns of sorted suffixes as numpy arrays."""
-
-    def __init__(self, table: pa.Table):
-        col = {n: table.column(n).combine_chunks() for n in table.column_names}
-        self.n = len(table)
-        self.gram, self.doc = (col[c].to_numpy(zero_copy_only=False) for c in ("gram", "doc_id"))
-        self.place, self.n_after, self.n_before = (
-            col[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "n_after", "n_before"))
-        self.after, self.before = (
-            np.frombuffer(b"".join(col[c].to_pylist()), ">u4").reshape(self.n, SIDE) for c in ("after", "before"))
-
-    def compared(self, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
-        """Spans of the suffixes i matched with the suffixes j: doc, start, end,
-        other doc."""
-        ok = (self.gram[i] == self.gram[j]) & (self.doc[i] != self.doc[j])
-        i, j = i[ok], j[ok]
-
-        def run(side, limit):
-            same = side[i] == side[j]
-            same &= np.arange(SIDE) < np.minimum(limit[i], limit[j])[:, None]
-            return np.where(same.all(axis=1), SIDE, same.argmin(axis=1))
-
-        right, left = run(self.after, self.n_after), run(self.before, self.n_before)
-        ok = left + GRAM + right >= LEAST
-        i, j, left, right = i[ok], j[ok], left[ok], right[ok]
-        return [self.doc[i], self.place[i] - left, self.place[i] + GRAM + right, self.doc[j]]
-
-
-def neighbours(s: Suffixes) -> list[np.ndarray]:
-    """Spans from comparing each suffix with the nearest before and after it
-    that stand in other documents."""
-    here = np.arange(s.n)
-    first = np.concatenate([[True], (s.doc[1:] != s.doc[:-1]) | (s.gram[1:] != s.gram[:-1])])
-    run = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    ends = np.concatenate([starts[1:], [s.n]])
-    prior, after = starts[run] - 1, ends[run]
-    has_prior, has_after = prior >= 0, after < s.n
-    parts = [s.compared(here[has_prior], prior[has_prior]), s.compared(here[has_after], after[has_after])]
-    return [np.concatenate(c) for c in zip(*parts)]
-
-
-_SPANS = "kind string, part int, gram long, after binary, before binary, n_after int, n_before int, " \
-         "doc_id long, place int, start int, end int, other long"
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans found inside a sorted partition, and its first and last suffix.
-    The partition is read in pieces; each begins with the last document's
-    suffixes of the piece before."""
-    from pyspark import TaskContext
-    part = TaskContext.get().partitionId()
-    held: pa.Table | None = None
-    first = last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = pa.Table.from_batches([batch])
-        first = first if first is not None else new.slice(0, 1)
-        last = new.slice(len(new) - 1, 1)
-        both = new if held is None else pa.concat_tables([held, new])
-        s = Suffixes(both)
-        doc, start, end, other = neighbours(s)
-        yield _span_batch(part, doc, start, end, other)
-        change = np.flatnonzero((s.doc[1:] != s.doc[:-1]) | (s.gram[1:] != s.gram[:-1]))
-        # the last run and one suffix before it
-        held = both.slice(int(change[-1])) if len(change) else both
-    if first is not None:
-        for edge, name in ((first, "first"), (last, "last")):
-            b = edge.combine_chunks().to_batches()[0]
-            none = pa.nulls(1, pa.int32())
+            texts, starts, parts = [], [], []
+            for t, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                own = owners(grams[a:max(a, b - GRAM + 1)])
+                here = np.flatnonzero(np.isin(own, places[t].values.to_numpy(zero_copy_only=False)))
+                texts.append(np.full(len(here), t))
+                starts.append(here)
+                parts.append(np.stack([own[here], whole[a + here].view(np.int64)]))
+            text, start = np.concatenate(texts), np.concatenate(starts)
+            own, value = np.concatenate(parts, axis=1)
+            if not len(start):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])]))
+            ends = np.concatenate([first, [len(start)]])
+            step = (np.arange(len(start)) - np.repeat(first, np.diff(ends))).astype(np.uint64)
+            value = value.view(np.uint64)
+            same = np.add.reduceat(kernel.mix(value + step * np.uint64(0x9E3779B97F4A7C15)), first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([part], pa.int32()), *[b.column(c) for c in range(7)],
-                 none, none, pa.nulls(1, pa.int64())], names=_NAMES)
-
-
-_NAMES = [c.split()[0] for c in _SPANS.split(", ")]
-
-
-def _span_batch(part: int, doc, start, end, other) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(["span"] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int64()),
-         pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
-         pa.array(doc, pa.int64()), pa.nulls(n, pa.int32()), pa.array(start.astype(np.int32)),
-         pa.array(end.astype(np.int32)), pa.array(other, pa.int64())], names=_NAMES)
-
-
-def _sorted_spans(suffixes: DataFrame, order: list[str]) -> DataFrame:
-    """Spans between neighbours in one order: inside partitions, and across
-    their borders (two suffixes per partition are looked at on the driver)."""
-    spark = suffixes.sparkSession
-    found = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-                    .mapInArrow(_compare, _SPANS), "spans")
-    edges = found.filter("kind <> 'span'").orderBy("part", "kind").collect()
-    lasts = {e["part"]: e for e in edges if e["kind"] == "last"}
-    rows, before = [], None
-    for e in (e for e in edges if e["kind"] == "first"):
-        if before is not None:
-            cols = [f.split()[0] for f in SUFFIX.split(", ")]
-            s = Suffixes(pa.Table.from_pylist([{c: before[c] for c in cols}, {c: e[c] for c in cols}]))
-            rows += list(zip(*(c.tolist() for c in neighbours(s))))
-        before = lasts[e["part"]]
-    border = spark.createDataFrame(rows, "doc_id long, start int, end int, other long")
-    return found.filter("kind = 'span'").select("doc_id", "start", "end", "other").union(border)
+                [batch.column(0).slice(lo, hi - lo).take(pa.array(text[first])),
+                 pa.array(start[first].astype(np.int32)), kernel.list_array(value, ends),
+                 pa.array(kernel.mix(same).view(np.int64))],
+                names=["doc_id", "start", "windows", "same"])
+
+
+def _passages(rows: DataFrame) -> DataFrame:
+    """Spans (doc_id, start, end, other) of the windows that stand in several
+    documents."""
+    other = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")
+    # written, so that the joins read them afresh and a very common key is split
+    groups = written(rows.groupBy("same").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "groups")
+    known = written(rows.join(groups, "same").withColumn("one", F.col("doc_id") == F.col("lo")), "known")
+    common = written(known.filter("one").select(F.explode("windows").alias("window"), "lo", "hi")
+                     .groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                     .filter("lo <> hi"), "common")
+    single = known.filter("lo = hi").select("doc_id", "start", F.posexplode("windows").alias("step", "window")) \
+        .withColumn("start", F.col("start") + F.col("step"))
+    return known.filter("lo <> hi").select(
+        "doc_id", "start", (F.col("start") + F.size("windows") + LEAST - 1).alias("end"), other) \
+        .union(single.join(common, "window").select(
+            "doc_id", "start", (F.col("start") + LEAST).alias("end"), other))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -251,11 +157,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                      .filter("lo <> hi").select("gram"), "shared")
     wanted = written(anchors.join(shared, "gram", "left_semi").groupBy("doc_id")
                      .agg(F.sort_array(F.collect_set("place")).alias("places")), "wanted")
-    suffixes = written(own.join(wanted, "doc_id").select("doc_id", "text", "places")
-                       .mapInArrow(_suffixes, SUFFIX), "suffixes")
-    tail = ["doc_id", "place"]
-    spans = _sorted_spans(suffixes, ["gram", "after", "before", *tail]) \
-        .union(_sorted_spans(suffixes, ["gram", "before", "after", *tail]))
+    windows = written(own.join(wanted, "doc_id").select("doc_id", "text", "places")
+                      .mapInArrow(_windows, WINDOWS), "windows")
+    spans = _passages(windows)
     copies = classes.filter("head <> tail")
     members = rows.join(copies, whole).select(
         "doc_id", F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("end_word"),

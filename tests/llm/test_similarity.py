@@ -248,6 +248,44 @@ def test_passages_hot_and_awkward(spark, partitions):
     assert repeats.repeated_passages(docs.limit(0)).count() == 0
 
 
+def check_passages_exactly(rows, by_id):
+    """Every word of every window that stands in another document, no more."""
+    check_passages(rows, by_id)
+    covered, _, _ = brute_passages(by_id)
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert got == covered
+
+
+def near_copies(n, length, seed):
+    rng = random.Random(seed)
+    base = base_text(seed, length)
+    return [" ".join(f"e{rng.randrange(10 ** 6)}" if rng.random() < 0.05 else w for w in base) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [60, 300])
+def test_passages_of_near_copies_exactly(spark, n):
+    own = dict(enumerate(near_copies(n, 300, n)))
+    docs = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    check_passages_exactly(repeats.repeated_passages(docs).collect(), own)
+
+
+def test_passages_between_longer_matches_on_one_side(spark):
+    # around each of 40 shared runs of 50 words, one document shares more words
+    # to the right of it and one more to the left, both of too few in all
+    own = []
+    for k in range(40):
+        run, a, b = base_text(3000 + k, 50), base_text(4000 + k, 60), base_text(5000 + k, 60)
+        own += [a + run + b, base_text(6000 + k, 60) + run + base_text(7000 + k, 60)]
+        for cut in range(2, 34, 3):
+            own.append(base_text(8000 + 40 * cut + k, 30) + run[cut:] + b[:cut - 1])
+            own.append(a[len(a) - cut + 1:] + run[:50 - cut] + base_text(9900 + 40 * cut + k, 30))
+    own = {i: " ".join(w) for i, w in enumerate(own)}
+    docs = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    check_passages_exactly(repeats.repeated_passages(docs).collect(), own)
+
+
 # -- vectors ----------------------------------------------------------------------------
 
 def check_vectors(rows, vectors):
