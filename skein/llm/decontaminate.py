@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .store import written
+from .store import text_mark, without, written
 
 NUM, DEN = 75, 100
 #: Bits of the table of item shingles; its size does not depend on any input.
@@ -95,8 +95,9 @@ def _search(table: np.ndarray, extra_bits: int):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(rows)), pa.array(parts, pa.int32()),
                          pa.array(sketches, pa.list_(pa.int64())),
-                         pa.array(hits, pa.list_(pa.int64()))],
-                        names=["doc_id", "p", "sketch", "hits"])
+                         pa.array(hits, pa.list_(pa.int64())),
+                         *[c.take(pa.array(rows)) for c in batch.columns[2:]]],
+                        names=["doc_id", "p", "sketch", "hits", *batch.schema.names[2:]])
     return run
 
 
@@ -108,7 +109,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     gives an empty result.  Repeated rows give one result row; where rows share
     an id, the highest count stands.  Ties at the limit are found.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items) \
+        .groupBy("doc_id", "item_id").agg(F.max_by("n_item", "n_shared").alias("n_item"),
+                                          F.max("n_shared").alias("n_shared")) \
+        .withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def _matches(own: DataFrame, items: DataFrame, carried: str = "") -> DataFrame:
+    """doc_id, item_id, n_item, n_shared of each row of ``own`` (doc_id, text) and
+    item found in it, with further columns of the types ``carried`` passed
+    through."""
+    more = own.columns[2:]
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     sized = "item_id long, n_item long, items array<long>, least array<int>"
     smallest = asked.mapInArrow(_entries(0), sized).filter("n_item > 0") \
@@ -127,7 +138,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     # the session's broadcast: TABLE_BITS / 8 bytes
     hits = written(own.mapInArrow(
         _search(table.view(np.uint8), extra),
-        "doc_id long, p int, sketch array<long>, hits array<long>")
+        "doc_id long, p int, sketch array<long>, hits array<long>" + carried)
         .withColumn("row", F.monotonically_increasing_id()), "hits")
 
     entries = sets.select("item_id", F.explode(F.arrays_zip("items", "least")).alias("e")) \
@@ -135,16 +146,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = hits.select("row", "p", F.explode("sketch").alias("x")).join(entries, "x") \
         .filter("p >= least").select("row", "item_id").distinct()
     common = F.size(F.array_intersect("hits", "items"))
-    return found.join(hits.select("row", "doc_id", "hits"), "row") \
+    return found.join(hits.select("row", "doc_id", "hits", *more), "row") \
         .join(sets.select("item_id", "n_item", "items"), "item_id") \
-        .select("doc_id", "item_id", "n_item", common.cast("long").alias("n_shared")) \
-        .filter(F.col("n_shared") * DEN >= F.col("n_item") * NUM) \
-        .groupBy("doc_id", "item_id").agg(F.max_by("n_item", "n_shared").alias("n_item"),
-                                          F.max("n_shared").alias("n_shared")) \
-        .withColumn("containment", F.col("n_shared") / F.col("n_item"))
+        .select("doc_id", "item_id", "n_item", common.cast("long").alias("n_shared"), *more) \
+        .filter(F.col("n_shared") * DEN >= F.col("n_item") * NUM)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    bad = written(contaminated(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of ``docs`` that hold no item.  A row goes by its id and its text,
+    not with other rows of its id."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark(docs["text"]).alias("mark"))
+    return without(docs, written(_matches(own, items, ", mark long").select("doc_id", "mark").distinct(), "leaks"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .links import colliding, linked
-from .store import written
+from .store import text_mark, without, written
 
 PLACES = 1 << 20
 BANDS, ROWS = 24, 3
@@ -86,8 +86,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)),
                  pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
                  kernel.list_array(keys[some].ravel(),
-                                   np.concatenate([[0], np.cumsum(some * BANDS)]))],
-                names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+                                   np.concatenate([[0], np.cumsum(some * BANDS)])),
+                 *[c.slice(lo, hi - lo) for c in batch.columns[2:]]],
+                names=["doc_id", "n_shingles", "h1", "h2", "keys", *batch.schema.names[2:]])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +109,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names a component while a copy with an id exists; alone it is kept with a
     null component.  An empty table gives an empty result.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _decided(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def _decided(own: DataFrame, carried: str = "") -> DataFrame:
+    """:func:`near_duplicates` of (doc_id, text), with further columns of the
+    types ``carried`` passed through.  Rows equal in doc_id and text are decided
+    alike."""
+    more = own.columns[2:]
     sketch = written(own.mapInArrow(
-        _sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "sketch")
+        _sketch, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>" + carried), "sketch")
     # written, so that the joins below read it afresh and a large class is split
     classes = written(sketch.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles")
                       .agg(F.min("doc_id").alias("id")), "classes")
@@ -120,7 +128,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = rows.select("id", F.explode("keys").alias("key"))
     members = written(colliding(buckets), "members")
     wanted = written(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    sets = written(own.join(wanted, "doc_id", "left_semi").mapInArrow(
+    sets = written(own.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(
         _sets, "id long, items array<long>"), "sets")
     roots = linked(members, sets, NUM, DEN)
     named = classes.join(roots, "id", "left") \
@@ -128,11 +136,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return sketch.drop("keys").join(named, ["h1", "h2", "n_shingles"], "left") \
         .select("doc_id", "n_shingles",
                 F.when(F.col("n_shingles") > 0, F.col("class_root"))
-                .otherwise(F.col("doc_id")).alias("component_id")) \
+                .otherwise(F.col("doc_id")).alias("component_id"), *more) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group."""
-    gone = written(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows of ``docs`` that :func:`near_duplicates` keeps.  A row goes by its
+    id and its text, not with other rows of its id."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark(docs["text"]).alias("mark"))
+    return without(docs, written(_decided(own, ", mark long").filter("not kept")
+                                 .select("doc_id", "mark").distinct(), "gone"))

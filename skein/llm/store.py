@@ -1,8 +1,9 @@
-"""Intermediate tables in the shared folder, and size-checked broadcasts."""
+"""Intermediate tables in the shared folder, and rows dropped by id and text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.session import scratch_path
 
@@ -15,3 +16,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash that tells texts of one doc_id, or of none, apart."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id, also a null one, and text aren't in
+    ``gone`` (doc_id, mark)."""
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"])
+                     & (text_mark(docs["text"]) == gone["mark"]), "left_anti")

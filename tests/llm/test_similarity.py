@@ -125,6 +125,25 @@ def test_near_duplicates_null_and_repeated_ids(spark):
                           ("None", "None", True), ("None", "None", True)])
 
 
+def test_stages_decide_rows_that_share_an_id_one_by_one(spark):
+    t, lone, more = (" ".join(base_text(s, 30)) for s in (9, 10, 11))
+    leak = spark.read.parquet(f"{SF_CHECK}/benchmark.parquet").filter("text is not null").first().text
+    rows = [(None, t), (4, t), (None, lone), (None, more), (None, None), (None, ""), (6, t), (6, lone + " and more"),
+            (7, "four clean words here"), (7, leak), (None, leak)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], documents(spark, SF_SMALL).schema)
+
+    def left(out):
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    got = left(near_dup.deduplicated(docs))
+    kept = {(r.doc_id, r.n_shingles) for r in near_dup.near_duplicates(docs).collect() if r.kept}
+    assert {(i, len(brute.shingles(x))) for i, x in got} == kept
+    assert got == sorted([r for r in rows if r not in {(None, t), (6, t), (None, leak)}], key=str)
+    assert left(corpus_pipeline.drop_near_duplicates(spark, docs, SF_CHECK)) == got
+    assert left(corpus_pipeline.drop_benchmark_leaks(spark, docs, SF_CHECK)) == sorted(
+        [r for r in rows if r[1] != leak], key=str)
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(0)
     shared, own = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
