@@ -1,6 +1,7 @@
 """Plain versions of the operators' definitions, for small tables."""
 
 import collections
+import hashlib
 import re
 import zlib
 
@@ -89,3 +90,71 @@ def phrase_places(text):
         p = phrase.split()
         out += [(i, label) for i in range(len(w)) if w[i:i + len(p)] == p]
     return len(w), sorted(out)
+
+
+def aligned(texts, encode_a, encode_b):
+    """Per text (n_a, n_b, n_groups, n_links, n_best, count_sum, groups text).
+    encode_*: (id, bytes) of each token; ``texts`` in any order, repeats count."""
+    rows, count = [], collections.Counter()
+    for text in texts:
+        a, b = (encode_a(text), encode_b(text)) if text else ([], [])
+        whole = b" " + (text or "").encode()
+        if b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            a, b = [], []
+        groups, left, right, links = [], [], [], []
+        end_a, end_b, n_b = 0, 0, 0
+        for i, raw in a:
+            end_a += len(raw)
+            left.append(i)
+            while n_b < len(b) and end_b + len(b[n_b][1]) <= end_a:
+                end_b += len(b[n_b][1])
+                right.append(b[n_b][0])
+                n_b += 1
+            if end_a == end_b:
+                links.append((left[-1], right[-1]))
+                groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
+                left, right = [], []
+        rows.append((len(a), len(b), links, ";".join(groups)))
+        count.update(links)
+    most = collections.defaultdict(int)
+    for (_, y), n in count.items():
+        most[y] = max(most[y], n)
+    return [(n_a, n_b, len(links), len(links), sum(count[x] == most[x[1]] for x in links),
+             sum(count[x] for x in links), shown) for n_a, n_b, links, shown in rows]
+
+
+def best_path(score, switch):
+    """Best total of a path through rows of scores."""
+    value = score[0]
+    for row in score[1:]:
+        value = [row[j] + max(v - (switch if i != j else 0) for i, v in enumerate(value)) for j in range(len(row))]
+    return max(value)
+
+
+def trie(rows):
+    """Nodes of the trie of (conv_id, turn, role, text) rows, as the contract has them."""
+    own = collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    members, ends = collections.defaultdict(list), collections.defaultdict(list)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % 6
+        turns = own.get(c - c % 100, [])[:h] + own[c][h:]
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+        ends[tuple(turns)].append(c)
+    children = collections.defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children[node]
+        leaves[node] = sum(leaves[x] for x in below) or 1
+        saved[node] = sum(saved[x] for x in below) + (len(members[node]) - 1) * (len(node[-1][1]) if node else 0)
+    return sorted((m[0], len(node), members[node[:-1]][0] if node else None, len(m), len(children[node]),
+                   leaves[node], saved[node],
+                   hashlib.sha256(",".join(map(str, ends[node])).encode()).hexdigest())
+                  for node, m in members.items())
