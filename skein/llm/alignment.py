@@ -23,6 +23,7 @@ frequent.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,9 @@ ENTRIES = 1 << 21
 
 _BLANK = "▁"
 
+# fixed value: how byte-level pre-tokenizers cut a text into words
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 @dataclass
 class Rows:
@@ -98,6 +102,30 @@ def product(a: Rows, b: Rows, entries: int = ENTRIES
         lo = hi
 
 
+def _by_rank(path: str, tokenizer, raw: list[bytes]):
+    """tiktoken's encoder for a byte-level file that it equals, else None.
+
+    It merges the neighbours whose joint bytes have the lowest id, of any two that
+    make a token.  That follows the file's list of merges if ids rise along the
+    list and each token's own bytes merge to it: neighbours that make a token are
+    then always a pair of the list.
+    """
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] \
+        and cut.get("use_regex", True) and model["type"] == "BPE" and not any(
+            model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    special = {t["content"] for t in spec["added_tokens"]}
+    names = sorted((n for n in model["vocab"] if n not in special), key=model["vocab"].get)
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if not plain or made != sorted(set(made)) or any(len(tokenizer.model.tokenize(n)) != 1 for n in names):
+        return None
+    return tiktoken.Encoding("a", pat_str=_WORD, special_tokens={},
+                             mergeable_ranks={raw[i]: i for i in map(model["vocab"].get, names)})
+
+
 class Sides:
     """Both tokenizers and the bytes of their tokens."""
 
@@ -115,6 +143,7 @@ class Sides:
         for name, i in self.a.get_vocab().items():
             plain = all(c in byte for c in name)
             self.bytes_a[i] = bytes(byte[c] for c in name) if plain else name.encode()
+        self.ranked = _by_rank(path_a, self.a, self.bytes_a)
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
                         else self.b.id_to_piece(i).replace(_BLANK, " ").encode()
                         for i in range(self.b.get_piece_size())]
@@ -128,10 +157,11 @@ class Sides:
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides; none where a side's bytes aren't the blank and the text."""
         spaced = [" " + t for t in texts]
+        ids = map(self.ranked.encode_ordinary, spaced) if self.ranked else \
+            (x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False))
         out = []
-        for t, s, a, b in zip(texts, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False),
-                              self.b.encode(texts, num_threads=1)):
-            a, whole = a.ids, s.encode()
+        for t, s, a, b in zip(texts, spaced, ids, self.b.encode(texts, num_threads=1)):
+            whole = s.encode()
             same = t and b"".join(map(self.bytes_a.__getitem__, a)) == whole \
                 and b"".join(map(self.bytes_b.__getitem__, b)) == whole
             out.append((a, b) if same else ([], []))

@@ -62,6 +62,18 @@ def test_alignment_awkward_texts(spark):
     assert alignment.alignment_report(docs.limit(0), *PATHS).count() == 0
 
 
+def test_encoder_by_rank_equals_the_file(spark):
+    sides = alignment.Sides(*PATHS)
+    texts = [t or "" for t in AWKWARD] + [r.text for r in spark.read.parquet(f"{SF_CHECK}/documents.parquet").collect()]
+    rng = random.Random(2)
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0xD800), rng.randrange(0xE000, 0x110000)]))
+                      for _ in range(200)) for _ in range(50)]
+    by_rank = [a for a, _ in sides.encode(texts)]
+    assert sides.ranked is not None
+    sides.ranked = None
+    assert by_rank == [a for a, _ in sides.encode(texts)]
+
+
 def test_rare_pairs_are_joined(spark, monkeypatch):
     """With few heavy pairs most are found by the join; the result is the same."""
     docs = table(spark)
