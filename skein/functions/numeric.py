@@ -73,3 +73,35 @@ def design_total(fmt, design, diversity, mention, repetition,
     return (wf * _c(fmt) + wd * _c(design) + wv * _c(diversity)
             + wm * _c(mention) - wr * _c(repetition))
 
+
+#: Splits a double into halves of 26 bits (2**27 + 1).
+_SPLITTER = 134217729.0
+
+
+def fixed3(x) -> Column:
+    """A double with three decimals, as Python's ``"%.3f"`` renders it.
+
+    Python rounds the exact binary value, half to even; ``format_string`` and
+    ``round`` round its decimal text.  Here the fraction is split into two halves
+    whose products with 1000 are exact.  The higher product is rounded; what is
+    left of it, less or plus one half, with the lower product added, has the sign
+    of the exact sum, which tells whether the next integer is nearer or there is a
+    tie.  Holds for magnitudes below 2**63; null and NaN give null.
+    """
+    v = _c(x).cast("double")
+    size = F.abs(v)
+    units = F.floor(size)
+    part = size - units                                  # exact
+    big = part * _SPLITTER
+    high = big - (big - part)
+    a, b = high * 1000.0, (part - high) * 1000.0         # both exact
+    whole = F.floor(a + 0.5)
+    rest = a - whole                                     # exact, -0.5 to 0.5
+    above, below = (rest - 0.5) + b, (rest + 0.5) + b    # signs are exact
+    odd = F.pmod(whole, F.lit(2)) == 1
+    n = F.when((above > 0) | ((above == 0) & odd), whole + 1) \
+        .when((below < 0) | ((below == 0) & odd), whole - 1).otherwise(whole)
+    sign = F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise("")
+    text = F.concat(sign, (units + F.floor(n / 1000)).cast("string"), F.lit("."),
+                    F.lpad(F.pmod(n, F.lit(1000)).cast("string"), 3, "0"))
+    return F.when(v.isNotNull() & ~F.isnan(v), text)

@@ -73,3 +73,18 @@ def format_report(checked: DataFrame, by: Sequence[str]) -> DataFrame:
             F.avg("format_reward").alias("mean_format_reward")]
     aggs += [(1 - F.avg(c)).alias(f"fail_{c}") for c in terms]
     return checked.groupBy(*by).agg(*aggs)
+
+
+def format_rollup(checked: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A14 at every level of ``by``: per group, per prefix of ``by``, and over all.
+
+    ``level`` is how many of the columns are summed away (0: none); ``grouping_id``
+    tells a null that is a total from one that is a value.  The rows are read once:
+    each map task sums all levels before the shuffle.
+    """
+    terms = [c for c in CHECKS if c in checked.columns]
+    gid = F.grouping_id()
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg("format_reward").alias("mean_format_reward"),
+            *[(1 - F.avg(c)).alias(f"fail_{c}") for c in terms], gid.alias("grouping_id"),
+            F.bit_count(gid).cast("int").alias("level")]
+    return checked.rollup(*by).agg(*aggs)

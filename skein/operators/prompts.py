@@ -2,19 +2,18 @@
 
 Labels and confidences are columns; the chat messages are an
 ``array<struct<role,content>>`` and the prompt text is rendered from them
-with a caller-supplied template.  The three-decimal confidence text is the
-one Python step (an Arrow-batched pandas UDF): Python's ``%.3f`` rounds the
-exact binary value, which neither ``format_string`` nor ``round`` reproduce.
+with a caller-supplied template.  The three-decimal confidence text is a column
+expression (``numeric.fixed3``) that rounds the exact binary value.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from skein.functions.numeric import fixed3
 
 # ---- fixed values ---------------------------------------------------------
 CLASSES = "no|yes"
@@ -49,12 +48,9 @@ def chat_messages(system="system_prompt", user="user_prompt") -> Column:
                    F.struct(F.lit("user").alias("role"), u.alias("content")))
 
 
-@F.pandas_udf(StringType())
-def confidence_text(first: pd.Series, second: pd.Series) -> pd.Series:
+def confidence_text(first: Column, second: Column) -> Column:
     """``"%.3f|%.3f"`` exactly as Python renders it; null when either is null."""
-    out = [None if (pd.isna(a) or pd.isna(b)) else f"{a:.3f}|{b:.3f}"
-           for a, b in zip(first, second)]
-    return pd.Series(out, dtype="object")
+    return F.concat(fixed3(first), F.lit("|"), fixed3(second))
 
 
 def soft_label_from_probability(df: DataFrame, prob: str = "probability",
@@ -93,6 +89,40 @@ def cycle_prompts(df: DataFrame, balance: bool = True) -> DataFrame:
     return df.select(F.explode(reps).alias("replica"), "*")
 
 
+def read_in_order(spark: SparkSession, *paths: str) -> DataFrame:
+    """Parquet files as one table with ``row``, a row's place from 0: files by path,
+    rows as they stand in them.
+
+    One job counts the rows of each file (the driver holds one number a file, as
+    it does when it lists them); a row's place is its file's offset and its index
+    in the file.  Nothing is sorted or shuffled, and a file may be read by many
+    tasks.
+    """
+    rows = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_file"),
+                                             F.col("_metadata.row_index").alias("_at"))
+    counts = sorted(rows.groupBy("_file").count().collect())
+    offsets, run = [], 0
+    for file, n in counts:
+        offsets.append((file, run))
+        run += n
+    table = spark.createDataFrame(offsets, "_file string, _offset long")
+    return rows.join(table, "_file").withColumn("row", F.col("_offset") + F.col("_at")).drop("_file", "_offset", "_at")
+
+
+def ordered_cycle(rows: DataFrame, balance: bool = True) -> DataFrame:
+    """P8 in order: ``cycle_prompts`` of a table with ``row``, and ``position``, the
+    place of each of the 2n rows: the table, then the table again."""
+    n = rows.count()
+    return cycle_prompts(rows, balance).withColumn("position", F.col("replica") * F.lit(n) + F.col("row"))
+
+
+def scoring_copy(df: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
+    """``prompt``, rendered from the plain system prompt, and
+    ``scoring_prompt``, the same with the reasoning suffix."""
+    return df.withColumns({"prompt": template.render(chat_messages()),
+                           "scoring_prompt": template.render(chat_messages(system=with_reasoning_suffix()))})
+
+
 def with_reasoning_suffix(system="system_prompt", suffix: str = REASONING_SUFFIX):
     """The system prompt with the step-by-step suffix (scoring copy only;
     the emitted prompt keeps the plain system prompt)."""

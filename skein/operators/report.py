@@ -17,6 +17,7 @@ from skein.functions import text as T
 
 TRACE_EVERY = 50       # log a trace every 50th step
 THINK_HEAD = 100       # characters of think text in a trace
+SKETCH_K = 400         # size of a quantile sketch
 ADVANTAGE_EPS = 1e-4   # added to the group standard deviation
 
 
@@ -39,6 +40,38 @@ def reward_report(scored: DataFrame, by: Sequence[str] = ("step",),
     return scored.groupBy(*by).agg(*aggs)
 
 
+def reward_sketches(scored: DataFrame, by: Sequence[str] = ("step",),
+                    values: Sequence[str] = ("total_reward",), k: int = SKETCH_K) -> DataFrame:
+    """A15 to be merged: per group the row count, each value's sum, bounds and a
+    KLL sketch of it (some kilobytes, whatever the group's size)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for v in values:
+        x = F.col(v).cast("double")
+        aggs += [F.sum(x).alias(f"sum_{v}"), F.min(x).alias(f"min_{v}"), F.max(x).alias(f"max_{v}"),
+                 F.kll_sketch_agg_double(x, k).alias(f"sketch_{v}")]
+    return scored.groupBy(*by).agg(*aggs)
+
+
+def merged_report(sketches: DataFrame, by: Sequence[str] = (), values: Sequence[str] = ("total_reward",),
+                  quantiles: Sequence[float] = (0.1, 0.5, 0.9), k: int = SKETCH_K) -> DataFrame:
+    """The report of any coarser groups from stored sketches, without their rows:
+    n, mean, bounds and quantiles.  A quantile's rank is off by about 1.7 / k of n
+    at most in 99 of 100 cases; groups of up to ``k`` rows have exact ones.  A
+    group whose values are all null has null quantiles."""
+    aggs = [F.sum("n").alias("n")]
+    for v in values:
+        aggs += [F.sum(f"sum_{v}").alias(f"_sum_{v}"), F.min(f"min_{v}").alias(f"min_{v}"),
+                 F.max(f"max_{v}").alias(f"max_{v}"), F.kll_merge_agg_double(f"sketch_{v}", k).alias(f"_sketch_{v}")]
+    out = sketches.groupBy(*by).agg(*aggs)
+    cols = [*by, "n"]
+    for v in values:
+        size = F.kll_sketch_get_n_double(f"_sketch_{v}")
+        cols += [(F.col(f"_sum_{v}") / size).alias(f"mean_{v}"), f"min_{v}", f"max_{v}"]
+        cols += [F.when(size > 0, F.kll_sketch_get_quantile_double(f"_sketch_{v}", F.lit(float(q))))
+                 .alias(f"q{round(100 * q)}_{v}") for q in quantiles]
+    return out.select(*cols)
+
+
 def reward_trace(scored: DataFrame, text_col: str = "completion", step: str = "step",
                  every: int = TRACE_EVERY, cols: Sequence[str] = ()) -> DataFrame:
     """Every ``every``-th step (the reference's sampling rule), with the

@@ -21,6 +21,7 @@ from skein.operators import classifier as CL
 from skein.operators import designs as DS
 from skein.operators import embed as EM
 from skein.operators import fingerprint as FP
+from skein.operators import judge as JU
 from skein.operators import ledger as LG
 from skein.operators import metrics as ME
 from skein.operators import pairs as PR
@@ -571,3 +572,56 @@ def design_trace(spark, sf):
     scored = DS.score_designs(comp, keep=["id", "completion"])
     return round_doubles(RP.reward_trace(scored, cols=["step", "pos", "id", "completion", "keywords", "generate_seq",
                                                        *_DESIGN_PARTS, "total_reward"]))
+
+
+# ---- the judge, levels, sketches, differences and order -------------------------
+
+
+@register("judge_sampled_votes")
+def judge_sampled_votes(spark, sf):
+    """P14 to S8 to A2 with the judge in it: a first run takes one sample a request, a
+    second one takes the samples that the table lacks, and votes are counted."""
+    path = f"{_folder(spark, 'judge')}/responses"
+    requests = VO.judge_requests(fx.design_completions(spark, sf), JUDGE_TARGET)
+    JU.judge_into(requests, path, samples=1)
+    return round_doubles(VO.vote_shares(JU.judge_into(requests, path)))
+
+
+@register("format_rollup")
+def format_rollup(spark, sf):
+    checked = formatting.format_checks(fx.completions(spark, sf), keep=["v", "step"])
+    return round_doubles(formatting.format_rollup(checked, by=["v", "step"]))
+
+
+@register("reward_quantiles")
+def reward_quantiles(spark, sf):
+    """A15 from sketches: kept per step, merged to tens of steps without their rows."""
+    path = f"{_folder(spark, 'sketches')}/steps"
+    RP.reward_sketches(_answer_scored(spark, sf)).write.parquet(path)
+    tens = spark.read.parquet(path).withColumn("tens", F.floor(F.col("step") / 10))
+    return round_doubles(RP.merged_report(tens, by=["tens"]))
+
+
+@register("embedding_diff")
+def embedding_diff(spark, sf):
+    """What a second run changed in an embedding table.  The first run has the
+    designs of cycles 0 and 1 with the vectors of their lowest ids, the second those
+    of cycles 1 and 2 with the vectors of their highest ids."""
+    rows = fx.designs(spark, sf).select("id", "seq").join(
+        read_table_cols(spark, sf, "embeddings", F.col("vec_id").alias("id"), "embedding"), "id")
+    cycle, base = F.col("id") % 3, _folder(spark, "trees")
+    tables = {"old": rows.filter(cycle < 2).groupBy("seq").agg(F.min_by("embedding", "id").alias("embedding")),
+              "new": rows.filter(cycle > 0).groupBy("seq").agg(F.max_by("embedding", "id").alias("embedding"))}
+    for name, table in tables.items():
+        FP.hash_tree(table).write.parquet(f"{base}/{name}")
+    return FP.table_diff(*tables.values(), *(spark.read.parquet(f"{base}/{name}") for name in tables))
+
+
+@register("ordered_scoring_copy")
+def ordered_scoring_copy(spark, sf):
+    """Prompts from several files, in their order, the table then the table
+    again, each with the plain prompt and the scoring copy of it."""
+    path = f"{_folder(spark, 'ordered')}/prompts"
+    fx.pair_prompts(spark, sf).repartitionByRange(5, "pair_id").sortWithinPartitions("pair_id").write.parquet(path)
+    rows = PM.scoring_copy(PM.ordered_cycle(PM.read_in_order(spark, path)))
+    return rows.select("position", "replica", "row", "pair_id", "prompt", "scoring_prompt")

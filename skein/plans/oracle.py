@@ -426,3 +426,47 @@ select step, pos, id, completion, keywords, generate_seq, """ + ", ".join(
   """ + S.binary_answer("completion") + """ as answer,
   substring(""" + S.think_text("completion") + """, 1, 100) as think_head
 from scored where step % 50 = 0"""
+
+
+# ---- the judge, levels, sketches, differences and order -------------------------
+
+ORACLE["judge_sampled_votes"] = S.ctes(*_DC) + """
+select design_seq, ref_seq, count(*) as n_responses, sum(y)::BIGINT as n_yes, round(avg(y), 6) as yes_fraction
+from (select design_seq, ref_seq, (md5('Target T1: would you pick candidate ' || design_seq || ' over candidate '
+        || ref_seq || '? Reply yes or no.' || ':' || sample) < '8')::INT as y
+      from (select distinct """ + _GEN + """ as design_seq, """ + S.first_keyword("keywords") + """ as ref_seq
+            from dc) q, (select unnest([0, 1, 2]) as sample) s
+      where design_seq is not null and ref_seq is not null) r
+group by design_seq, ref_seq"""
+
+ORACLE["format_rollup"] = _with_completions(
+    "SELECT v, step, count(*) AS n, round(avg(format_reward), 6) AS mean_format_reward, "
+    + ", ".join(f"round(1 - avg({k}), 6) AS fail_{k}" for k in _CHECKS)
+    + ", grouping(v, step)::BIGINT AS grouping_id, (grouping(v) + grouping(step))::INT AS level"
+    + " FROM (SELECT v, step, " + _CHECK_SQL + ", " + _COMPOSITE
+    + " AS format_reward FROM completions) c GROUP BY ROLLUP (v, step)")
+
+ORACLE["reward_quantiles"] = _AS + """
+select step // 10 as tens, count(*) as n, round(avg(total_reward), 6) as mean_total_reward,
+  round(min(total_reward), 6) as min_total_reward, round(max(total_reward), 6) as max_total_reward, """ + ", ".join(
+    f"round(quantile_disc(total_reward, {q / 100}), 6) as q{q}_total_reward" for q in (10, 50, 90)) + """
+from scored group by step // 10"""
+
+ORACLE["embedding_diff"] = S.ctes(
+    ("designs", S.DESIGNS),
+    ("rows", "select id, seq, list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000 + 0.5)) as q "
+             "from designs join embeddings on vec_id = id"),
+    ("old", "select seq, arg_min(q, id) as q from rows where id % 3 < 2 group by seq"),
+    ("new", "select seq, arg_max(q, id) as q from rows where id % 3 > 0 group by seq")) + """
+select coalesce(old.seq, new.seq) as key,
+  case when old.seq is null then 'added' when new.seq is null then 'removed' else 'changed' end as change
+from old full join new on old.seq = new.seq
+where old.q is distinct from new.q"""
+
+_SUFFIX = "\n You will provide the reasoning step-by-step, using detailed biological knowledge from the training."
+ORACLE["ordered_scoring_copy"] = S.ctes(*_PROMPTS) + """
+select replica * n + row as position, replica::INT as replica, row, pair_id,
+  """ + S.prompt_text("system_prompt", "user_prompt") + """ as prompt,
+  """ + S.prompt_text("system_prompt || '" + _SUFFIX + "'", "user_prompt") + """ as scoring_prompt
+from (select *, row_number() over (order by pair_id) - 1 as row, count(*) over () as n from pair_prompts) p,
+  (select unnest([0, 1]) as replica) r"""

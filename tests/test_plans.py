@@ -9,11 +9,10 @@ from __spark_entry__ import queries
 from skein.plans.catalog import REGISTRY  # noqa: E402
 
 QUERIES = {k: v for k, v in queries().items() if k in REGISTRY}
-# Python crosses only where the survey allows it: the 3-decimal confidence
-# text, the long-text motif counter, the batched numpy scorer
+# Python crosses only where the survey allows it: the long-text motif counter, the batched numpy scorer
 # (predict_batch_udf), the stateful running count and the optional pandas
 # embedder.  Format checks and answer scoring (J07/J08) never cross.
-PYTHON_ALLOWED = {"soft_label_prompts", "soft_label_given", "motif_repetition_text",
+PYTHON_ALLOWED = {"soft_label_prompts", "motif_repetition_text",
                   "stream_running_count", "pair_scores", "design_total", "ledger_last",
                   "ledger_running_count", "motif_repetition_documents", "composition_embeddings_pandas",
                   "pair_scores_stored_weights", "design_total_cached", "design_report", "design_trace"}
@@ -70,3 +69,10 @@ def test_blocks_are_extracted_once_a_scan(spark, name):
     scans = plan.count("Relation [")
     for pattern in (THINK_BLOCK_CI, ANSWER_BLOCK_CI):
         assert 1 <= plan.count(f", {pattern}, ") <= scans, pattern
+
+
+def test_confidence_text_stays_in_the_jvm(spark):
+    assert "Arrow" not in plan_of(QUERIES["soft_label_given"](spark, SF_SMALL))
+    # what is left in Python is the pair scorer
+    plan = plan_of(QUERIES["soft_label_prompts"](spark, SF_SMALL))
+    assert {n for n in ("predict", "confidence_text") if n in plan} == {"predict"}
