@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.streaming.sinks import is_folder
+from skein.streaming.files import is_folder
 
 SAMPLES = 3     # responses per request
 KEYS = ("design_seq", "ref_seq", "sample")

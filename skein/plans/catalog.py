@@ -625,3 +625,21 @@ def ordered_scoring_copy(spark, sf):
     fx.pair_prompts(spark, sf).repartitionByRange(5, "pair_id").sortWithinPartitions("pair_id").write.parquet(path)
     rows = PM.scoring_copy(PM.ordered_cycle(PM.read_in_order(spark, path)))
     return rows.select("position", "replica", "row", "pair_id", "prompt", "scoring_prompt")
+
+
+# ---- streams that keep late rows ------------------------------------------------
+
+
+@register("stream_windowed_report_watermarked")
+def stream_windowed_report_watermarked(spark, sf):
+    return round_doubles(STR.stream_windowed_report_watermarked(spark, sf))
+
+
+@register("stream_sessions")
+def stream_sessions(spark, sf):
+    return round_doubles(STR.stream_sessions(spark, sf))
+
+
+@register("stream_prompts_joined")
+def stream_prompts_joined(spark, sf):
+    return round_doubles(STR.stream_prompts_joined(spark, sf))

@@ -470,3 +470,17 @@ select replica * n + row as position, replica::INT as replica, row, pair_id,
   """ + S.prompt_text("system_prompt || '" + _SUFFIX + "'", "user_prompt") + """ as scoring_prompt
 from (select *, row_number() over (order by pair_id) - 1 as row, count(*) over () as n from pair_prompts) p,
   (select unnest([0, 1]) as replica) r"""
+
+
+# ---- streams that keep late rows (the batch results) ------------------------------
+
+ORACLE["stream_windowed_report_watermarked"] = ORACLE["stream_windowed_report"]
+ORACLE["stream_prompts_joined"] = ORACLE["scored_from_prompts"]
+
+ORACLE["stream_sessions"] = """
+select user_id, min(ts) as session_start, max(ts) + interval 12 hours as session_end, count(*) as n,
+  round(sum(value), 6) as total_value
+from (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as island
+      from (select user_id, ts, value, coalesce(ts > lag(ts) over (partition by user_id order by ts)
+              + interval 12 hours, true)::INT as fresh from events where ts is not null) a) b
+group by user_id, island"""

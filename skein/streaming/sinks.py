@@ -5,33 +5,25 @@ below a folder the caller names (or a fresh one below ``spark.checkpoint.dir``)
 and returns the written table.  Running it again with the same folder continues
 from the checkpoint: only new input is read.
   * append mode — the file sink (exactly-once through its commit log);
-  * update mode — ``foreachBatch`` writes each batch's changed rows under the
-    batch id; the table is the latest row per key (a re-run batch overwrites
-    its own rows).
+  * update mode — ``foreachBatch`` appends each batch's changed rows to a keyed
+    log (``store.KeyedLog``) as the version of its batch id; the table is the latest
+    row per key, and superseded runs are merged and deleted.
 It returns when the input is drained or raises what stopped the query.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skein.session import scratch_path
 from skein.sources.tables import table_path
-
-
-def _status(spark: SparkSession, path: str):
-    """(file system, path) through Hadoop, so that remote paths work alike."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def is_folder(spark: SparkSession, path: str) -> bool:
-    fs, p = _status(spark, path)
-    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+from skein.streaming.files import is_folder
+from skein.streaming.store import KeyedLog, latest
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str,
@@ -57,28 +49,44 @@ def read_written(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+class RowsLost(RuntimeError):
+    pass
+
+
+def finish(query, progress: list[dict] | None = None) -> None:
+    """Wait for a query to drain its input.  Its progress records go to
+    ``progress``; a row that an operator dropped behind the watermark is an error."""
+    query.awaitTermination()
+    records = query.recentProgress
+    records = [json.loads(p.json) if hasattr(p, "json") else dict(p) for p in records]
+    if progress is not None:
+        progress += records
+    lost = sum(op.get("numRowsDroppedByWatermark", 0) for p in records for op in p.get("stateOperators", ()))
+    if lost:
+        raise RowsLost(f"{lost} rows came behind the watermark of {query.name or query.id}")
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append",
-                  keys: Sequence[str] = (), base: str | None = None) -> DataFrame:
+                  keys: Sequence[str] = (), base: str | None = None,
+                  progress: list[dict] | None = None) -> DataFrame:
     spark = stream.sparkSession
     base = base or scratch_path(spark, name)
     data, ckpt = f"{base}/data", f"{base}/_checkpoint"
     if mode == "append":
         q = (stream.writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start(data))
-        q.awaitTermination()
+        finish(q, progress)
         return read_written(spark, data, stream.schema)
     if mode != "update" or not keys:
         raise ValueError("update mode needs key columns")
     cols = [c for c in stream.columns if c not in keys]
+    schema = StructType([*(stream.schema[c] for c in [*keys, *cols]), StructField("_batch", LongType())])
+    log = KeyedLog(spark, data, schema, keys, latest(keys, cols, "_batch"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{data}/batch_id={batch_id}")
+        log.append(batch.withColumn("_batch", F.lit(batch_id).cast("long")), batch_id)
 
     q = (stream.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    schema = StructType(list(stream.schema.fields) + [StructField("batch_id", IntegerType())])
-    log = read_written(spark, data, schema)
-    latest = log.groupBy(*keys).agg(
-        F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v"))
-    return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in cols])
+    finish(q, progress)
+    return log.read().select(*stream.columns)
