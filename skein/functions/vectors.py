@@ -22,13 +22,22 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _equal_lengths(a: Column, b: Column, out: Column) -> Column:
+    """``out``; vectors of unequal lengths fail the job."""
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.concat(
+        F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"),
+        F.lit(" elements")))).otherwise(out)
+
+
 def vsub(a, b) -> Column:
     """N6 element-wise a - b (float32 when both inputs are float32)."""
-    return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
+    a, b = _c(a), _c(b)
+    return _equal_lengths(a, b, F.zip_with(a, b, lambda x, y: x - y))
 
 
 def vadd(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
+    a, b = _c(a), _c(b)
+    return _equal_lengths(a, b, F.zip_with(a, b, lambda x, y: x + y))
 
 
 def vconcat(a, b) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from skein.functions import vectors as V
 from skein.functions.numeric import sigmoid
 
+MOST_WEIGHTS = 4_000_000
 HIDDEN = 32  # 64 // 2 hidden units in the reference scorer
 
 
@@ -51,8 +52,10 @@ class PairScorer:
     @classmethod
     def from_table(cls, weights: DataFrame) -> "PairScorer":
         """Load weights stored as rows ``(layer, j, i, w)``; ``i = -1`` holds a
-        bias.  The table is the model (bounded by its parameter count)."""
-        rows = weights.select("layer", "j", "i", "w").collect()
+        bias.  The table is the model; one of more than ``MOST_WEIGHTS`` is an error."""
+        rows = weights.select("layer", "j", "i", "w").limit(MOST_WEIGHTS + 1).collect()
+        if len(rows) > MOST_WEIGHTS:
+            raise ValueError(f"more than {MOST_WEIGHTS} weights")
         l1 = [r for r in rows if r["layer"] == 1]
         hidden = 1 + max(r["j"] for r in l1)
         dim = 1 + max(r["i"] for r in l1)

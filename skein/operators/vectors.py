@@ -45,7 +45,7 @@ def attach_pair_vectors(pairs: DataFrame, vectors: DataFrame, key_a="seqA", key_
     if check_unique:
         # A duplicate key would fan pair rows out; fail naming the keys.
         require_unique(vectors, [vec_key])
-    if broadcast is None:
+    if broadcast is not False:      # a wish to broadcast is checked as well
         broadcast = vectors_fit_broadcast(vectors, vec_col)  # one probe, both lookups
     va = _lookup(vectors, vec_key, vec_col, "_ka", "vecA", broadcast)
     vb = _lookup(vectors, vec_key, vec_col, "_kb", "vecB", broadcast)

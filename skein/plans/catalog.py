@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from skein.functions import numeric as NU
 from skein.functions import vectors as FV
 from skein.functions.text import RESIDUES
-from skein.operators import answers, formatting
+from skein.operators import answers, cache, formatting, network
 from skein.operators import classifier as CL
 from skein.operators import designs as DS
 from skein.operators import embed as EM
@@ -643,3 +643,36 @@ def stream_sessions(spark, sf):
 @register("stream_prompts_joined")
 def stream_prompts_joined(spark, sf):
     return round_doubles(STR.stream_prompts_joined(spark, sf))
+
+
+# ---- the bucketed cache and the trained network -----------------------------------
+
+
+def _new_name() -> str:
+    import uuid
+    return f"skein_vectors_{uuid.uuid4().hex[:12]}"
+
+
+@register("embedding_cache_bucketed")
+def embedding_cache_bucketed(spark, sf):
+    """S3-S5 over a bucketed table: a second run computes only what the first left."""
+    cycles, name, path = fx.design_cycles(spark, sf), _new_name(), f"{_folder(spark, 'cache')}/vectors"
+    cache.embed_into(cycles.filter("cycle = 0"), name, path, "generate_seq", buckets=8)
+    return round_doubles(cache.embed_into(cycles, name, path, "generate_seq", buckets=8))
+
+
+@register("pair_vectors_from_cache")
+def pair_vectors_from_cache(spark, sf):
+    """JN1: the vectors of all pairs' sequences from a bucketed cache."""
+    pairs, name, path = fx.pairs(spark, sf), _new_name(), f"{_folder(spark, 'cache')}/vectors"
+    table = cache.append_to_cache(fx.seq_vectors(spark, sf), name, path, buckets=8)
+    asked = pairs.select(F.explode(F.array("seqA", "seqB")).alias("seq"))
+    out = VE.attach_pair_vectors(pairs, cache.cached_vectors(asked, table), broadcast=False)
+    return round_doubles(out.select("pair_id", "seqA", "seqB", "has_vectors", "features"))
+
+
+@register("train_pair_network")
+def train_pair_network(spark, sf):
+    """J12 with the ReLU network and Adam: metrics of both splits."""
+    vec = VE.attach_pair_vectors(fx.pairs(spark, sf), fx.seq_vectors(spark, sf)).withColumn("label", PR.pair_label())
+    return round_doubles(network.train_and_evaluate(vec, "pair_id", 64)[1])

@@ -484,3 +484,6 @@ from (select *, sum(fresh) over (partition by user_id order by ts rows unbounded
       from (select user_id, ts, value, coalesce(ts > lag(ts) over (partition by user_id order by ts)
               + interval 12 hours, true)::INT as fresh from events where ts is not null) a) b
 group by user_id, island"""
+
+ORACLE["embedding_cache_bucketed"] = ORACLE["composition_embeddings"]
+ORACLE["pair_vectors_from_cache"] = ORACLE["pair_diff_vectors"]

@@ -167,8 +167,8 @@ select a.id as pair_id, a.seq as seqA, a.plddt as seqA_plddt, b.seq as seqB,
 from designs a join designs b on b.id = (a.id*7+3) % (select count(*) from embeddings)
 """
 
-PAIR_SYSTEM = ("A conversation between User and Biologist. The Biologist reasons inside "
-               "<think> </think> and answers yes or no inside <answer> </answer>.")
+PAIR_SYSTEM = ("You compare two peptides. Put your reasons inside <think> </think>, then "
+               "yes or no inside <answer> </answer>.")
 
 PAIR_PROMPTS = """
 select pair_id, '""" + PAIR_SYSTEM + """' as system_prompt,

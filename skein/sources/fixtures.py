@@ -4,7 +4,7 @@ The reference ships no data; these recipes turn ``conversations``,
 ``embeddings``, ``documents`` and ``labels`` into completions, designs,
 pairs and prompts.  The modulo expressions below pick a *variant* or partner per
 row, they filter nothing out; completions come from assistant turns, partners by
-number suppose ids 0 to n - 1.
+number need ids 0 to n - 1, which is checked.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from skein.sources.tables import read_table
 # ---- fixed values (fixture recipe) ----------------------------------------
 HEX_DIGITS = "0123456789abcdef"
 HEX_TO_RESIDUE = "ACDEFGHIKLMNPQRS"
-PAIR_SYSTEM_PROMPT = ("A conversation between User and Biologist. The Biologist reasons "
-                      "inside <think> </think> and answers yes or no inside <answer> </answer>.")
+PAIR_SYSTEM_PROMPT = ("You compare two peptides. Put your reasons inside <think> </think>, then "
+                      "yes or no inside <answer> </answer>.")
 DOC_SYSTEM_PROMPT = "Read the passage and answer yes or no."
 # ---------------------------------------------------------------------------
 
@@ -114,10 +114,21 @@ def seq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("seq").agg(F.min_by("embedding", "id").alias("embedding")))
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of ``embeddings``; their ids must be 0 to n - 1, as partners are found by
+    number."""
+    r = read_table(spark, sf_dir, "embeddings").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"),
+        F.min("vec_id").alias("low"), F.max("vec_id").alias("high")).head()
+    if r.n and (r.ids, r.low, r.high) != (r.n, 0, r.n - 1):
+        raise ValueError(f"vec_id isn't 0 to n - 1: {r}")
+    return r.n
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs: design ``id`` against design ``(7 id + 3) mod n``."""
     d = designs(spark, sf_dir)
-    n = read_table(spark, sf_dir, "embeddings").count()
+    n = _numbered(spark, sf_dir)
     a = d.select(col("id").alias("pair_id"), col("seq").alias("seqA"),
                  col("plddt").alias("seqA_plddt"),
                  ((col("id") * 7 + 3) % n).alias("partner"))
@@ -189,7 +200,7 @@ def design_completions(spark: SparkSession, sf_dir: str,
     generating side; the reference side is the static table.
     """
     d = designs(spark, sf_dir)
-    n = read_table(spark, sf_dir, "embeddings").count()
+    n = _numbered(spark, sf_dir)
     g = d if generated is None else designs_from(generated)
     gen = g.select("id", col("seq").alias("gen"),
                    ((col("id") * 3 + 1) % n).alias("ref_id"))

@@ -10,28 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skein.schemas import PROMPT_SCHEMA
+from skein.sources.csv import read_multiline_csv
 
 
 def read_prompt_csv(spark: SparkSession, paths: str | Sequence[str],
                     schema: StructType = PROMPT_SCHEMA) -> DataFrame:
     """Read prompt CSV files; columns are matched by header name.
 
-    Each file is read with its own header (every field a string — nothing is
-    inferred), the known columns are cast to ``schema``'s types by name and
-    the files are unioned by name, as a header-aligned concat does.  Prompts
-    hold newlines, so records may span lines (``multiLine``); such files
-    cannot be split, so convert large inputs to parquet once.
+    Every field is a string (nothing is inferred); the known columns are cast to
+    ``schema``'s types by name and files are unioned by name, as a header-aligned
+    concat does.  Prompts hold newlines, so records may span lines; files are split
+    all the same (``csv.read_multiline_csv``).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     types = {f.name: f.dataType for f in schema.fields}
-    parts = []
-    for p in paths:
-        raw = (spark.read.option("header", True).option("multiLine", True)
-               .option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
-               .csv(p))
-        parts.append(raw.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types
-                                  else F.col(f"`{c}`") for c in raw.columns]))
-    return union_by_name(parts)
+    return union_by_name([raw.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
+                                       for c in raw.columns]) for raw in read_multiline_csv(spark, paths)])
 
 
 def read_prompt_files(spark: SparkSession, paths: Sequence[str],
