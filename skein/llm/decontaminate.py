@@ -1,9 +1,10 @@
 """Benchmark decontamination: containment search with size-partitioned MinHash.
 
 An item is found in a document when the document holds at least 75 % of the
-item's distinct five-word shingles (words as in :mod:`near_dup`; an item of
-fewer words has its whole sequence as one shingle and matches documents that
-consist of just that sequence).
+item's distinct five-word shingles (words as in :mod:`near_dup`).  An item of fewer
+words has its whole sequence as one shingle; where there are items of n < 5 words,
+the runs of n words of a document count among its shingles, so such an item is found
+wherever it stands.
 
 Documents are partitioned by the size of their shingle sets: partition p holds
 sets of up to 2**p shingles.  A containment limit corresponds to a Jaccard
@@ -45,8 +46,8 @@ def _entries(extra_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in kernel.text_blocks(batch.column(1)):
-                flat, at = kernel.distinct_sets(
-                    *kernel.shingle_hashes(*kernel.word_hashes(buf, offs)))
+                words, word_at = kernel.word_hashes(buf, offs)
+                flat, at = kernel.distinct_sets(*kernel.shingle_hashes(words, word_at))
                 least = np.zeros(len(flat), np.int32)
                 for a, b in zip(at[:-1], at[1:]):
                     if a == b:
@@ -62,16 +63,29 @@ def _entries(extra_bits: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)),
                      kernel.list_array(flat, at),
-                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(least))],
-                    names=["item_id", "n_item", "items", "least"])
+                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(least)),
+                     pa.array(np.diff(word_at).astype(np.int32))],
+                    names=["item_id", "n_item", "items", "least", "n_words"])
     return run
 
 
-def _search(table: np.ndarray, extra_bits: int):
+def _shingles(buf: np.ndarray, offs: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each text, and its runs of as many words as ``short`` names."""
+    words, word_at = kernel.word_hashes(buf, offs)
+    flat, at = kernel.shingle_hashes(words, word_at)
+    if not short:
+        return flat, at
+    more = [(flat, at)] + [kernel.run_hashes(words, word_at, n) for n in short]
+    text = np.concatenate([np.repeat(np.arange(len(a) - 1), np.diff(a)) for _, a in more])
+    order = np.argsort(text, kind="stable")
+    return np.concatenate([f for f, _ in more])[order], sum(a for _, a in more)
+
+
+def _search(table: np.ndarray, extra_bits: int, short: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in kernel.text_blocks(batch.column(1)):
-                flat, at = kernel.shingle_hashes(*kernel.word_hashes(buf, offs))
+                flat, at = _shingles(buf, offs, short)
                 bit = flat & np.uint64(TABLE_BITS - 1)
                 hit = (table[(bit >> np.uint64(3)).astype(np.int64)]
                        >> (bit & np.uint64(7)).astype(np.uint8)) & 1
@@ -121,11 +135,11 @@ def _matches(own: DataFrame, items: DataFrame, carried: str = "") -> DataFrame:
     through."""
     more = own.columns[2:]
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    sized = "item_id long, n_item long, items array<long>, least array<int>"
-    smallest = asked.mapInArrow(_entries(0), sized).filter("n_item > 0") \
-        .agg(F.min("n_item")).head()[0]
+    sized = "item_id long, n_item long, items array<long>, least array<int>, n_words int"
+    smallest, short = asked.mapInArrow(_entries(0), sized).filter("n_item > 0") \
+        .agg(F.min("n_item"), F.sort_array(F.collect_set(F.when(F.col("n_words") < 5, F.col("n_words"))))).head()
     extra = max(2, -(-20 // _least_shared(smallest or 1)) - 1)
-    sets = written(asked.mapInArrow(_entries(extra), sized).filter("n_item > 0").distinct(), "items")
+    sets = written(asked.mapInArrow(_entries(extra), sized).filter("n_item > 0").drop("n_words").distinct(), "items")
 
     # at most TABLE_BITS / 32 rows, whatever the size of the benchmark
     bit = F.col("x").bitwiseAND(TABLE_BITS - 1)
@@ -137,7 +151,7 @@ def _matches(own: DataFrame, items: DataFrame, carried: str = "") -> DataFrame:
         table[w["word"]] = w["bits"]
     # the session's broadcast: TABLE_BITS / 8 bytes
     hits = written(own.mapInArrow(
-        _search(table.view(np.uint8), extra),
+        _search(table.view(np.uint8), extra, short),
         "doc_id long, p int, sketch array<long>, hits array<long>" + carried)
         .withColumn("row", F.monotonically_increasing_id()), "hits")
 

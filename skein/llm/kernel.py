@@ -8,6 +8,7 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of a word from which on its hash is a digest.
+LONG = 256
 _MASK = (1 << 64) - 1
 
 
@@ -106,7 +109,8 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED
     """64-bit hash of every word, A-Z folded, and the word offsets of the texts.
 
     A polynomial over 64-bit byte codes from one running sum, finalised by a
-    mixer."""
+    mixer.  Modulo 2**64 such polynomials have equal values for crafted words of
+    1 024 bytes and more, so words beyond ``LONG`` bytes get a BLAKE2 digest."""
     starts, ends, offsets = word_bounds(buf, offs, is_word)
     if not len(starts):
         return np.zeros(0, np.uint64), offsets
@@ -115,7 +119,11 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(run, dtype=np.uint64)])
     value = (run[ends] - run[starts]) * _power("i", _INVERSE, len(buf))[starts]
     value += (ends - starts).astype(np.uint64) * _LENGTH_CODE
-    return mix(value), offsets
+    value = mix(value)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        word = _LOWER[buf[starts[i]:ends[i]]].tobytes()
+        value[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return value, offsets
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -125,7 +133,7 @@ def hash_words(words: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, k: int, plus: int = 0) -> np.ndarray:
     """Hash of each run of k words, borders of texts ignored (n - k + 1 values)."""
     n = len(words) - k + 1
     if n <= 0:
@@ -134,7 +142,17 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         value *= _SHINGLE_BASE
         value += words[j:j + n]
-    return mix(value)
+    return mix(value + np.uint64(plus))
+
+
+def run_hashes(words: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of n words inside a text, equal to that of a text of n words
+    that is shorter than a shingle, and the texts' offsets."""
+    value = gram_hashes(words, n, n)
+    end = np.repeat(offs[1:], np.diff(offs))
+    valid = np.arange(len(value)) + n <= end[:len(value)]
+    count = np.maximum(np.diff(offs) - n + 1, 0)
+    return value[valid], np.concatenate([[0], np.cumsum(count)])
 
 
 def shingle_hashes(words: np.ndarray, offs: np.ndarray, k: int = 5

@@ -1,5 +1,9 @@
 """License scans: templates with optional and replaceable regions as automata.
 
+``text:`` labels stand for the whole mandatory wording of a licence, each variant with
+a template of its own; an altered or shortened text isn't accepted and has at most the
+``notice:`` label of its opening or of a reference to the licence.
+
 A template is wording with mark-up: ``<<opt>>...<<end>>`` may be left out and
 ``<<var:a-b>>`` stands for a to b arbitrary words.  Each template is compiled to
 a non-deterministic automaton over word hashes; it accepts a run of words whose
@@ -25,11 +29,53 @@ from . import kernel
 # fixed values: base phrases and their labels
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-# fixed values: label, trigger word, template (public license notices)
+# fixed values: the wording of public licences, in parts that several of them share
+_MIT_GRANT = """permission is hereby granted free of charge to any person obtaining a copy of this software and
+associated documentation files the software to deal in the software without restriction including without limitation
+the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
+persons to whom the software is furnished to do so"""
+_MIT_NOTICE = """subject to the following conditions the above copyright notice and this permission notice
+<<opt>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software"""
+_MIT_WARRANTY = """the software is provided as is without warranty of any kind express or implied including but not
+limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+the <<var:1-8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+arising from out of or in connection with the software or the use or other dealings in the software"""
+_BSD_START = """redistribution and use in source and binary forms with or without modification are permitted
+provided that the following conditions are met <<opt>>1<<end>> redistributions of source code must retain the above
+copyright notice this list of conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form
+must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+and or other materials provided with the distribution"""
+_BSD_NAMES = """<<opt>>3<<end>> neither the name of <<var:1-12>> nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission"""
+_BSD_END = """this software is provided by <<var:1-8>> as is and any express or implied warranties including but not
+limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event
+shall <<var:1-8>> be liable for any direct indirect incidental special exemplary or consequential damages including
+but not limited to procurement of substitute goods or services loss of use data or profits or business interruption
+however caused and on any theory of liability whether in contract strict liability or tort including negligence or
+otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_ISC_GRANT = "permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or " \
+             "without fee is hereby granted"
+_ISC_NOTICE = "provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_WARRANTY = """the software is provided as is and <<var:1-8>> disclaims all warranties with regard to this software
+including all implied warranties of merchantability and fitness in no event shall <<var:1-8>> be liable for any
+special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+performance of this software"""
+_APACHE = """licensed under the apache license version 2 0 the license you may not use this file except in compliance
+with the license you may obtain a copy of the license at <<var:1-12>> unless required by applicable law or agreed to in
+writing software distributed under the license is distributed on an as is basis without warranties or conditions of
+any kind either express or implied see the license for the specific language governing permissions and limitations
+under the license"""
+
+# fixed values: label, trigger word, template; ``text`` is a licence's whole mandatory
+# wording, one template a variant, ``notice`` a reference to a licence or its opening
 TEMPLATES = [
     ("notice:mit", "license", "released under <<opt>>the terms of<<end>> the <<opt>>expat<<end>> mit license"),
     ("notice:mit", "license", "licensed under <<opt>>the terms of<<end>> the mit license"),
+    ("notice:mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of "
+                                 "this software and associated documentation files the software"),
     ("notice:apache", "license", "licensed under the apache license <<opt>>version<<end>> 2 0"),
+    ("notice:apache", "license", "you may not use this file except in compliance with the license"),
     ("notice:gpl", "license", "licensed under <<opt>>the terms of<<end>> the gnu <<opt>>lesser<<end>> "
                               "<<opt>>affero<<end>> general public license <<opt>>as published by the "
                               "free software foundation either<<end>> version <<var:1-2>>"),
@@ -37,15 +83,16 @@ TEMPLATES = [
                               "license as published by the free software foundation"),
     ("notice:cc", "licensed", "licensed under <<opt>>a<<end>> <<opt>>creative commons<<end>> cc by "
                               "<<opt>>nc<<end>> <<opt>>nd<<end>> <<opt>>sa<<end>> <<var:1-2>>"),
-    ("text:mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of "
-                               "this software and associated documentation files the software <<opt>>to deal in "
-                               "the software without restriction<<end>>"),
-    ("text:bsd", "redistribution", "redistribution and use in source and binary forms with or without "
-                                   "modification are permitted provided that the following conditions are met"),
-    ("text:isc", "permission", "permission to use copy modify and or distribute this software for any purpose "
-                               "with or without fee is hereby granted"),
-    ("text:apache", "license", "you may not use this file except in compliance with the license <<opt>>you may "
-                               "obtain a copy of the license at <<var:1-12>> unless required by applicable law<<end>>"),
+    ("notice:bsd", "redistribution", "redistribution and use in source and binary forms with or without "
+                                     "modification are permitted provided that the following conditions are met"),
+    ("notice:isc", "permission", _ISC_GRANT),
+    ("text:mit", "permission", f"{_MIT_GRANT} {_MIT_NOTICE} {_MIT_WARRANTY}"),
+    ("text:mit-0", "permission", f"{_MIT_GRANT} {_MIT_WARRANTY}"),
+    ("text:bsd-2", "redistribution", f"{_BSD_START} {_BSD_END}"),
+    ("text:bsd-3", "redistribution", f"{_BSD_START} {_BSD_NAMES} {_BSD_END}"),
+    ("text:isc", "permission", f"{_ISC_GRANT} {_ISC_NOTICE} {_ISC_WARRANTY}"),
+    ("text:0bsd", "permission", f"{_ISC_GRANT} {_ISC_WARRANTY}"),
+    ("text:apache", "license", _APACHE),
 ]
 
 

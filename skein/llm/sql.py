@@ -3,18 +3,26 @@
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _words(table: str, key: str) -> str:
+    return f"""(select {key}, list_filter(string_split_regex(
+              translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'),
+              lambda x: x <> '') as w from {table})"""
+
+
 def _shingles(table: str, key: str) -> str:
     return f"""
     select distinct {key}, unnest(case when len(w) = 0 then []
              when len(w) < 5 then [array_to_string(w, ' ')]
              else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g
-    from (select {key}, list_filter(string_split_regex(
-              translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'),
-              lambda x: x <> '') as w from {table})"""
+    from {_words(table, key)}"""
 
 
 OP1 = f"""
-with d as ({_shingles('documents', 'doc_id')}), q as ({_shingles('benchmark', 'item_id')}),
+with short as (select distinct len(w) as k from {_words('benchmark', 'item_id')} where len(w) between 1 and 4),
+d as ({_shingles('documents', 'doc_id')}
+      union select doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))
+      from {_words('documents', 'doc_id')}, short where len(w) >= k),
+q as ({_shingles('benchmark', 'item_id')}),
 n as (select item_id, count(*) as n_item from q group by item_id),
 c as (select doc_id, item_id, count(*) as n_shared from d join q using (g) group by doc_id, item_id)
 select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment

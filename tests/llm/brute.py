@@ -50,8 +50,10 @@ def near_links(texts):
 def contained(docs, items):
     out = {}
     asked = {i: shingles(t) for i, t in items.items()}
+    short = {len(words(t)) for t in items.values()} & {1, 2, 3, 4}
     for d, text in docs.items():
-        own = shingles(text)
+        own, w = shingles(text), words(text)
+        own |= {tuple(w[i:i + n]) for n in short for i in range(len(w) - n + 1)}
         for i, q in asked.items():
             if q and 100 * len(q & own) >= 75 * len(q):
                 out[d, i] = (len(q), len(q & own))

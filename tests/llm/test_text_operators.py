@@ -148,6 +148,59 @@ def test_license_templates(spark):
     assert licenses.license_report(empty(spark)).count() == 0
 
 
+def expansions(template, fill):
+    """Every wording of a template: each optional region in or out, regions to be
+    replaced with ``fill`` words."""
+    import itertools
+    import re
+    parts = re.split(r"<<opt>>(.*?)<<end>>", " ".join(template.split()))
+    for chosen in itertools.product([True, False], repeat=len(parts) // 2):
+        text = "".join(p if i % 2 == 0 else p * chosen[i // 2] for i, p in enumerate(parts))
+        yield re.sub(r"<<var:(\d+)-(\d+)>>", lambda m: " ".join(["Someone"] * min(max(fill, int(m[1])), int(m[2]))), text).split()
+
+
+def plain_matches(words, templates):
+    """(label, start, end) of the longest wording of each template at each place."""
+    out = set()
+    for label, template in templates:
+        wordings = {tuple(w.lower() for w in e) for fill in range(1, 13) for e in expansions(template, fill)}
+        for start in range(len(words)):
+            ends = [start + len(e) for e in wordings if len(words) - start >= len(e) and all(
+                a in (b, "someone") for a, b in zip(e, words[start:start + len(e)]))]
+            if ends:
+                out.add((label, start, max(ends)))
+    return out
+
+
+def test_license_texts_equal_a_plain_matcher(spark):
+    """Every template's wordings, whole, with one word altered, cut short and in other
+    words, against all expansions of all templates."""
+    import random
+    rng = random.Random(8)
+    templates = [(label, t) for label, _, t in licenses.TEMPLATES]
+    own = []
+    for _, t in templates:
+        for e in rng.sample(list(expansions(t, 3)), 2 if "<<opt>>" in t else 1):
+            at = rng.randrange(len(e))
+            own += [e, e[:at] + ["altered"] + e[at + 1:], e[:-1], ["so", "says"] + e + ["and", "more"]]
+    docs = spark.createDataFrame([(i, ", ".join(e).upper()) for i, e in enumerate(own)], "doc_id long, text string")
+    got = {r.doc_id: {(m.label, m.start, m.end) for m in r.matches} for r in licenses.license_scan(docs).collect()}
+    for i, e in enumerate(own):
+        assert got[i] == plain_matches([w.lower() for w in e], templates), e
+    labels = {label for m in got.values() for label, _, _ in m}
+    assert labels == {label for label, _ in templates}
+
+
+def test_license_variants_are_told_apart(spark):
+    text = {label: " ".join(next(expansions(t, 2))) for label, _, t in licenses.TEMPLATES if label.startswith("text:")}
+    own = [*text.values(), text["text:mit"].replace("merge", "never merge"), text["text:bsd-3"].split("this software is")[0]]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    rows = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_report(docs).collect()}
+    for i, label in enumerate(text):
+        assert {x for x in rows[i] if x.startswith("text:")} == {label}
+    assert rows[len(text)] == {"notice:mit"} and rows[len(text) + 1] == {"notice:bsd"}
+
+
 # -- decontamination -----------------------------------------------------------
 
 def found_pairs(docs, items):
@@ -161,6 +214,35 @@ def test_decontamination_equals_brute_force(spark):
     assert want and found_pairs(documents(spark), items) == want
 
 
+def test_short_items_are_found_inside_longer_texts(spark):
+    asked = {1: "alpha beta gamma delta", 2: "Omega", 3: "two words", 4: "five words make one shingle", 5: " "}
+    own = {0: "alpha beta gamma delta", 1: "x y ALPHA beta gamma delta z w", 2: "alpha beta gamma x delta", 3: "omega",
+           4: "an omega in " + "filler " * 5000, 5: "two  words", 6: "words two", 7: "so five words make one shingle here",
+           8: None, 9: "delta alpha beta gamma", 10: " ".join(f"w{i}" for i in range(9000)) + " two words"}
+    docs = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(asked.items()), "item_id long, text string")
+    want = brute.contained(own, asked)
+    assert {d for d, i in want if i == 1} == {0, 1} and {d for d, i in want if i == 2} == {3, 4}
+    assert found_pairs(docs, items) == want
+
+
+#: Two words of 1 024 letters that a polynomial modulo 2**64 can't tell apart.
+TWINS = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(1024)) for flip in (0, 1)]
+
+
+def test_words_that_a_polynomial_confuses_differ():
+    from skein.llm import kernel
+    a, b = kernel.hash_words(TWINS)
+    assert a != b and kernel.hash_words([TWINS[0].upper()])[0] == a
+
+
+def test_decontamination_tells_crafted_words_apart(spark):
+    text = "one two three four {} five six seven eight".format
+    docs = spark.createDataFrame([(0, text(TWINS[0])), (1, text(TWINS[1]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text(TWINS[0]))], "item_id long, text string")
+    assert set(found_pairs(docs, items)) == {(0, 7)}
+
+
 def test_decontamination_awkward(spark):
     item = "one two three four five six seven eight nine ten eleven twelve"
     short = "alpha beta"
@@ -219,6 +301,63 @@ def test_sharding_splits_a_group_that_no_shard_holds(spark):
     assert len(sharding.shard(docs.limit(3)).collect()) == 3
 
 
+def plain_packing(groups, shards=16):
+    """Groups (bytes, tokens, rows) from heavy to light, each to the best bin."""
+    totals = [max(sum(g[k] for g in groups), 1) for k in range(3)]
+    left = [[1 / shards] * 3 for _ in range(shards)]
+    out = {}
+    for i in sorted(range(len(groups)), key=lambda i: (-groups[i][0], i)):
+        v = [groups[i][k] / totals[k] for k in range(3)]
+        fits = [s for s in range(shards) if left[s][0] >= v[0]]
+        pick = max(fits, key=lambda s: (sum(a * b for a, b in zip(left[s], v)), left[s][0], -s)) if fits else \
+            max(range(shards), key=lambda s: (left[s][0], -s))
+        left[pick] = [a - b for a, b in zip(left[pick], v)]
+        out[i] = pick
+    return out, left
+
+
+def test_packing_is_the_plain_greedy_one():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    groups = [tuple(int(x) for x in rng.integers(1, 2000, 3)) for _ in range(400)]
+    want, left = plain_packing(groups)
+    got = sharding.pack(np.array(groups, float), 16)
+    own = np.zeros((16, 3))
+    np.add.at(own, got, np.array(groups, float) / np.array(groups, float).sum(0))
+    assert np.allclose(np.sort(1 / 16 - own, axis=0), np.sort(np.array(left), axis=0), atol=1e-9)
+    assert sum(got[i] == s for i, s in want.items()) >= 0.99 * len(groups)
+
+
+@pytest.mark.parametrize("units", [1 << 16, 200])
+def test_every_group_is_placed_by_the_rule(spark, monkeypatch, units):
+    """Bytes and tokens come out balanced whether groups are packed in one part or in
+    several of few groups, whose bins can't be as even."""
+    monkeypatch.setattr(sharding, "UNITS", units)
+    by_id = texts(spark)
+    rows = queries.op5_vector_sharding(spark, SF_CHECK).collect()
+    check_shards(rows, by_id)
+    sums = {}
+    for r in rows:
+        own = sums.setdefault(r.shard, [0, 0, 0])
+        own[0] += r.size
+        own[1] += len(brute.words(by_id[r.doc_id]))
+        own[2] += 1
+    assert len(sums) == 16
+    for k, most in ((0, 1.01 if units > 1000 else 1.06), (1, 1.1)):
+        assert max(s[k] for s in sums.values()) <= most * min(s[k] for s in sums.values())
+    if units > 1000:
+        groups = {}
+        for i, t in by_id.items():
+            g = groups.setdefault(t, [0, 0, 0])
+            g[0] += len((t or "").encode()) + 1
+            g[1] += len(brute.words(t))
+            g[2] += 1
+        _, left = plain_packing(sorted(map(tuple, groups.values())))
+        total = sum(len((t or "").encode()) + 1 for t in by_id.values())
+        spread = (max(s[0] for s in sums.values()) - min(s[0] for s in sums.values())) / total
+        assert spread <= max(x[0] for x in left) - min(x[0] for x in left) + 1e-3
+
+
 # -- quality -------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
