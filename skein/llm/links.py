@@ -8,10 +8,15 @@ Members that can have no further link are taken out by an exact bound; the rest
 are compared with another member, and at last pair by pair across components,
 block against block.  Every pair of a bucket thus ends up verified,
 connected or shown to be no link, and no link between components is lost.
+
+Sets are arrays, or anything that ``unpack`` makes arrays of where they are compared
+(a text that is shorter than its set); such sets come with their exact ``size``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +24,25 @@ from .components import components
 from .marks import maybe_in
 from .store import written
 
-#: Items of the sets that one block holds.
+#: Items of the sets that one block holds, and its members: a task compares the
+#: members of two blocks pair by pair.
 BLOCK_ITEMS = 1 << 18
+BLOCK_MEMBERS = 1 << 9
 #: 64-bit words of the bitmap that a set may carry.
 WORDS = 4
 
 
+Unpack = Callable[[Column], Column]
+
+
+def _as_is(items: Column) -> Column:
+    return items
+
+
+def _sized(sets: DataFrame) -> DataFrame:
+    return sets if "size" in sets.columns else sets.withColumn("size", F.size("items"))
+
+
 def bitmap(item: str) -> Column:
     """Aggregate: bitmap of the hashed items of a set, as WORDS longs."""
     h = F.col(item)
@@ -63,7 +81,7 @@ def _near_enough(x: Column, y: Column, num: int, den: int) -> Column:
     return common * (den + num) >= (x["size"] + y["size"]) * num
 
 
-def jaccard_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def jaccard_links(pairs: DataFrame, sets: DataFrame, num: int, den: int, unpack: Unpack = _as_is) -> DataFrame:
     """Pairs (a, b) whose sets (id, items) have den * intersection >= num * union.
     Where ``sets`` has bitmaps, pairs that these rule out need no sets."""
     if "bits" in sets.columns:
@@ -71,28 +89,26 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
         pairs = written(pairs.join(thin.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
                         .join(thin.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
                         .filter(_near_enough(F.col("x"), F.col("y"), num, den)).select("a", "b"), "near")
-    used = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), sets, "need")
-    left = used.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = used.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    nx, ny = F.size("x"), F.size("y")
-    common = F.size(F.array_intersect("x", "y"))
+    used = _sized(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), sets, "need"))
+    left = used.select(F.col("id").alias("a"), F.col("items").alias("x"), F.col("size").alias("nx"))
+    right = used.select(F.col("id").alias("b"), F.col("items").alias("y"), F.col("size").alias("ny"))
+    # common * den >= (nx + ny - common) * num; sets are unpacked once, in one expression
+    common = F.size(F.array_intersect(unpack(F.col("x")), unpack(F.col("y"))))
     return pairs.join(left, "a").join(right, "b") \
-        .filter(F.least(nx, ny) * den >= F.greatest(nx, ny) * num) \
-        .select("a", "b", nx.alias("nx"), ny.alias("ny"), common.alias("c")) \
-        .filter(F.col("c") * den >= (F.col("nx") + F.col("ny") - F.col("c")) * num) \
-        .select("a", "b")
+        .filter((F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+                & (common * (den + num) >= (F.col("nx") + F.col("ny")) * num)).select("a", "b")
 
 
-def able(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def able(members: DataFrame, sets: DataFrame, num: int, den: int, unpack: Unpack = _as_is) -> DataFrame:
     """The members that can still have a link among these members: an item that
     no other member's set holds is in no intersection, so a set needs a share of
     num / den of items that others hold too.  Items of one id alone are counted
     where they are grouped, so that only the counts travel back.  Exact, also
     where an id has several sets or where sets of other ids come along: both
     only let more members stay."""
-    own = maybe_in(sets, "id", written(members.select("id").distinct(), "ids"))
-    sizes = own.groupBy("id").agg(F.sum(F.size("items")).alias("total"), F.min(F.size("items")).alias("least"))
-    lone = own.select("id", F.explode("items").alias("x")).groupBy("x") \
+    own = _sized(maybe_in(sets, "id", written(members.select("id").distinct(), "ids")))
+    sizes = own.groupBy("id").agg(F.sum("size").alias("total"), F.min("size").alias("least"))
+    lone = own.select("id", F.explode(unpack(F.col("items"))).alias("x")).groupBy("x") \
         .agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi") \
         .groupBy("id").agg(F.count("*").alias("lone"))
     fit = sizes.join(lone, "id", "left") \
@@ -104,7 +120,7 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def linked(members: DataFrame, sets: DataFrame, num: int, den: int, unpack: Unpack = _as_is) -> DataFrame:
     """Components (id, root) of the true links among the members of buckets.
 
     ``members``: key, id, n, centre as given by :func:`colliding`; ``sets``: id,
@@ -112,40 +128,41 @@ def linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     bits (see :func:`bitmap`)."""
     tested = written(members.filter("id <> centre").select(*_pair(F.col("id"), F.col("centre"))).distinct(),
                      "pairs")
-    links = written(jaccard_links(tested, sets, num, den), "verified")
+    links = written(jaccard_links(tested, sets, num, den, unpack), "verified")
     roots = components(links)
-    rest = written(_open(able(_open(members, roots, 0), sets, num, den), roots, 0), "open")
+    rest = written(_open(able(_open(members, roots, 0), sets, num, den, unpack), roots, 0), "open")
     if not rest.limit(1).count():
         return roots
     centres = rest.filter("id = centre").select("key", F.col("root").alias("rc"))
     star = rest.join(centres, "key").filter("root <> rc") \
         .select(*_pair(F.col("id"), F.col("centre"))).distinct()
     more = written(star.join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = written(links.union(jaccard_links(more, sets, num, den)), "verified")
+    links = written(links.union(jaccard_links(more, sets, num, den, unpack)), "verified")
     roots = components(links)
 
     rest = written(_open(rest, roots, 1), "open")
     if not rest.limit(1).count():
         return roots
-    return components(written(links.union(_across(rest, sets, num, den)), "verified"))
+    return components(written(links.union(_across(rest, sets, num, den, unpack)), "verified"))
 
 
-def _across(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _across(rest: DataFrame, sets: DataFrame, num: int, den: int, unpack: Unpack = _as_is) -> DataFrame:
     """Links (a, b) between different components of open buckets.
 
     Buckets that share ids are one cloud, so that a pair of several buckets is
     looked at once.  A cloud is dealt to blocks of bounded size; each pair of
     blocks is one row, compared inside an expression that returns its links
-    only: pairs are never rows."""
+    only: pairs are never rows.  Rows of blocks are dealt out by number, as they are
+    small but long to compare."""
     clouds = components(rest.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
     nodes = rest.groupBy("id").agg(F.min("root").alias("root"), F.collect_set("key").alias("keys")) \
         .join(clouds.select("id", F.col("root").alias("cloud")), "id")
-    own = _sets_of(rest.select("id").distinct(), sets, "ids")
+    own = _sized(_sets_of(rest.select("id").distinct(), sets, "ids"))
     nodes = written(nodes.join(own, "id"), "nodes")
-    what = ["id", "root", "keys", "items"] + [c for c in ("size", "bits") if c in sets.columns]
-    volume = written(nodes.groupBy("cloud").agg(F.sum(F.size("items")).alias("volume")), "volume")
+    what = ["id", "root", "keys", "size", "items"] + ["bits"] * ("bits" in sets.columns)
+    volume = written(nodes.groupBy("cloud").agg(F.greatest(
+        F.ceil(F.sum("size") / BLOCK_ITEMS), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks")), "volume")
     dealt = nodes.join(volume, "cloud") \
-        .withColumn("blocks", F.ceil(F.col("volume") / BLOCK_ITEMS).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     packed = written(dealt.groupBy("cloud", "block").agg(
         F.max("blocks").alias("blocks"),
@@ -153,18 +170,23 @@ def _across(rest: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     left = packed.select("cloud", F.col("block").alias("i"), F.col("own").alias("xs"),
                          F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     right = packed.select("cloud", "block", F.col("own").alias("ys"))
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = left.join(right, ["cloud", "block"]).repartition(tasks, "cloud", "i", "block")
+
+    def opened(side: str) -> Column:
+        return F.transform(side, lambda x: F.struct(
+            *(x[c].alias(c) for c in what if c != "items"), unpack(x["items"]).alias("items"))).alias(side)
 
     def link(x: Column, y: Column) -> Column:
-        nx, ny = F.size(x["items"]), F.size(y["items"])
         common = F.size(F.array_intersect(x["items"], y["items"]))
         able = _near_enough(x, y, num, den) if "bits" in what else F.lit(True)
         return (x["root"] != y["root"]) & ((F.col("i") != F.col("block")) | (x["id"] < y["id"])) \
-            & (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & able \
-            & F.arrays_overlap(x["keys"], y["keys"]) & (common * (den + num) >= (nx + ny) * num)
+            & (F.least(x["size"], y["size"]) * den >= F.greatest(x["size"], y["size"]) * num) & able \
+            & F.arrays_overlap(x["keys"], y["keys"]) & (common * (den + num) >= (x["size"] + y["size"]) * num)
 
     found = F.flatten(F.transform("xs", lambda x: F.transform(
         F.filter("ys", lambda y: link(x, y)), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))))
-    return left.join(right, ["cloud", "block"]).select(F.explode(found).alias("p")) \
+    return sides.select("i", "block", opened("xs"), opened("ys")).select(F.explode(found).alias("p")) \
         .select(*_pair(F.col("p.u"), F.col("p.v"))).distinct()
 
 

@@ -163,15 +163,18 @@ def test_circulant_signature_estimates_jaccard():
 
 # -- lines ----------------------------------------------------------------------------
 
+def line_set(line, k=7):
+    return {line[i:i + k] for i in range(max(1, len(line) - k + 1))}
+
+
 def brute_lines(by_id):
-    shingle = re.compile(r"(?:(?<!\S)|(?<=\S{12}))(?=(\S.{0,19}))", re.ASCII | re.DOTALL)
     places, sets = collections.defaultdict(list), {}
     for d, t in by_id.items():
         for n, line in enumerate((t or "").split("\n")):
             if line.strip(" \t\x0b\f\r"):
                 places[line].append((d, n))
                 if line not in sets:
-                    sets[line] = set(shingle.findall(line))
+                    sets[line] = line_set(line)
     held = collections.defaultdict(list)
     for line, s in sets.items():
         for g in s:
@@ -221,6 +224,48 @@ def test_lines_hot_and_awkward(spark):
         assert got[i] == (want, len(want) if gone else -5)
 
 
+def test_lines_of_rows_without_an_id_or_of_one_id(spark):
+    header, more = "the header line of this table", " ".join(base_text(31, 30))
+    rows = [(None, f"{header}\nfirst"), (None, f"{header}\n{more}"), (3, f"{header}\nthird row"), (3, f"{more}\nfourth"),
+            (None, f"{header}\nfirst")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.text for r in line_dedup.without_repeated_lines(docs).collect())
+    texts_of = collections.Counter(line for t in got for line in t.split("\n"))
+    assert texts_of[header] == 2 and texts_of[more] == 1        # equal rows are decided alike
+    assert sorted(texts_of) == sorted({header, more, "first", "third row", "fourth"})
+
+
+def test_edited_lines_are_found(spark):
+    """Lines of 20 to 40 words with one word replaced: nine of ten are linked."""
+    rng = random.Random(12)
+    lines = [line for t in texts(documents(spark)).values() for line in (t or "").split("\n")
+             if 20 <= len(line.split(" ")) <= 40]
+    lines = rng.sample(sorted(set(lines)), 300)
+    vocabulary = sorted({w for line in lines for w in line.split(" ")})
+    edited = []
+    for line in lines:
+        w = line.split(" ")
+        w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        edited.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines + edited)], "doc_id long, text string")
+    rows = line_dedup.line_report(docs).collect()
+    check_lines(rows, dict(enumerate(lines + edited)))
+    assert sum(bool(r.dropped) for r in rows if r.doc_id >= len(lines)) >= 0.9 * len(lines)
+
+
+def test_many_small_sets_without_links(spark):
+    """A bucket of 3 000 sets of ten items, none of them linked."""
+    rng = random.Random(4)
+    sets = [(i, rng.sample(range(40), 10)) for i in range(3000)]
+    frame = spark.createDataFrame(sets, "id long, items array<long>")
+    members = colliding(frame.select("id", F.lit(7).cast("long").alias("key")))
+    got = {r.id: r.root for r in linked(members, frame, 95, 100).collect()}
+    by_set = collections.defaultdict(list)
+    for i, s in sets:
+        by_set[frozenset(s)].append(i)
+    assert got == {i: min(own) for own in by_set.values() if len(own) > 1 for i in own}
+
+
 def test_lines_need_no_python(spark):
     plan = line_dedup.without_repeated_lines(documents(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -393,8 +438,10 @@ def test_pipeline_stages_against_plain_versions(spark):
             assert wrong <= 0.02 * len(labels) and all(after[i] == before[i] for i in after)
         elif name == "line_dedup":
             _, dropped = brute_lines(before)
-            assert after == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in set(dropped.get(i, ())))
-                             for i, t in before.items()}
+            left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in set(dropped.get(i, ())))
+                    for i, t in before.items()}
+            assert after == {i: t for i, t in left.items() if t.strip() or not before[i].strip()}
+            assert len(after) < len(before)
         elif name == "near_dedup":
             want = brute.roots(before, brute.near_links(before))
             assert after == {i: t for i, t in before.items() if want[i] == i}
