@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered per Python worker; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def _byte_names() -> dict[int, str]:
