@@ -419,6 +419,52 @@ def test_vectors_hot_and_awkward(spark):
     check_vectors(twice, true)
 
 
+def test_windows_emit_what_counting_all_pairs_finds():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 24))
+    x[450:] = x[:450] + rng.standard_normal((450, 24)) * 0.2
+    p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ embed_dedup.directions(24)
+    group, side = rng.integers(0, 3, 900), rng.integers(0, 2, 900)
+    far = np.abs(p[:, None, :] - p[None, :, :])
+    near = ((far <= embed_dedup.HALF).sum(axis=2) >= embed_dedup.least_count()) \
+        & (far[:, :, 0] <= embed_dedup.WIDE) & (group[:, None] == group[None, :])
+    want = set(zip(*(a.tolist() for a in np.nonzero(np.triu(near, 1)))))
+
+    def emitted(sides):
+        pairs = [(min(a, b), max(a, b)) for i, j in embed_dedup.candidates(p, group, sides)
+                 for a, b in zip(i.tolist(), j.tolist())]
+        assert len(pairs) == len(set(pairs))
+        return set(pairs)
+
+    assert len(want) > 50 and emitted(np.full(900, 2)) == want
+    assert emitted(side) == {(a, b) for a, b in want if side[a] != side[b]}
+
+
+def test_cuts_bring_pairs_at_the_limit_together():
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((20_000, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((20_000, 16))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98 ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for k in (1, 4, 9):
+        shared = embed_dedup.cut_keys(a, k) == embed_dedup.cut_keys(b, k)
+        assert shared.shape[1] == embed_dedup.tables(k) and shared.any(axis=1).mean() > 0.9999
+
+
+@pytest.mark.parametrize("block", [48, 1024])
+def test_vectors_in_many_cuts_link_once(spark, monkeypatch, block):
+    """Cheap moves make small labels use many cuts, and small blocks cut their lists."""
+    monkeypatch.setattr(embed_dedup, "MOVE", 0.01)
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((700, 12))
+    x[300:] = x[rng.integers(0, 40, 400)] + rng.standard_normal((400, 12)) * 0.1
+    own = [(i, v.tolist(), 1 if i % 3 else 2) for i, v in enumerate(x)]
+    table = spark.createDataFrame(own, "vec_id long, embedding array<double>, label int")
+    check_vectors(embed_dedup.embedding_links(table).collect(), own)
+
+
 # -- pipeline -------------------------------------------------------------------------
 
 def test_pipeline_stages_against_plain_versions(spark):
