@@ -49,12 +49,13 @@ WIDE = 0.98
 WIDTH = 1.6
 MOST_CELLS = 15
 PROBES = 8
-BLOCK = 1024
+BLOCK = 4096
 BUNDLE = 16384
 #: Pairs that windows emit at a time.
 EMIT = 1 << 17
-#: Moving a vector to a list costs about as much as counting so many pairs.
-MOVE = 256
+#: Moving a vector to a list, or to a pair of blocks of one, costs about as much as
+#: counting so many pairs (measured).
+MOVE = 1024
 MISS = 1e-6
 
 
@@ -82,9 +83,11 @@ def tables(k: int) -> int:
 
 def cells_for(n: Column, share: Column) -> Column:
     """The cheapest k for n vectors when a cell keeps ``share`` of their pairs."""
-    costs = [F.struct((F.lit(tables(k)) * (n * F.pow(share, F.lit(k)) + MOVE)).alias("cost"), F.lit(k).alias("k"))
-             for k in range(MOST_CELLS + 1)]
-    return F.array_min(F.array(*costs))["k"]
+    def cost(k):
+        held = n * F.pow(share, F.lit(k))             # by the list of a vector
+        return F.lit(tables(k)) * (held + MOVE * F.greatest(F.lit(1.0), held / BLOCK))
+    return F.array_min(F.array(*[F.struct(cost(k).alias("cost"), F.lit(k).alias("k"))
+                                 for k in range(MOST_CELLS + 1)]))["k"]
 
 
 def directions(dim: int) -> np.ndarray:

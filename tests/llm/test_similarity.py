@@ -452,7 +452,7 @@ def test_cuts_bring_pairs_at_the_limit_together():
         assert shared.shape[1] == embed_dedup.tables(k) and shared.any(axis=1).mean() > 0.9999
 
 
-@pytest.mark.parametrize("block", [48, 1024])
+@pytest.mark.parametrize("block", [48, 4096])
 def test_vectors_in_many_cuts_link_once(spark, monkeypatch, block):
     """Cheap moves make small labels use many cuts, and small blocks cut their lists."""
     monkeypatch.setattr(embed_dedup, "MOVE", 0.01)
