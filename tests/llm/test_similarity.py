@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import embed_dedup, line_dedup, near_dup, quality, queries, repeats
+from skein.llm import embed_dedup, line_dedup, links, near_dup, quality, queries, repeats
 from skein.llm.components import components
 from skein.llm.links import bitmap, colliding, jaccard_links, linked
 from skein.llm.marks import maybe_in
@@ -266,6 +266,37 @@ def test_many_small_sets_without_links(spark):
     assert got == {i: min(own) for own in by_set.values() if len(own) > 1 for i in own}
 
 
+def test_members_compared_with_the_centre_are_done(spark, monkeypatch):
+    """Buckets of up to three members are settled by the stars alone."""
+    def more(*_):
+        raise AssertionError("members that have no pair left")
+
+    monkeypatch.setattr(links, "able", more)
+    monkeypatch.setattr(links, "_across", more)
+    sets = [(i, list(range(10 * i, 10 * i + 10))) for i in range(6)] + [(6, list(range(50, 59)))]
+    frame = spark.createDataFrame(sets, "id long, items array<long>")
+    buckets = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 2), (2, 3), (3, 4), (3, 5), (3, 6), (4, 0), (4, 3)],
+                                    "key long, id long")
+    assert {r.id: r.root for r in linked(colliding(buckets), frame, 80, 100).collect()} == {5: 5, 6: 5}
+
+
+def test_marks_keep_every_key_and_few_others(spark):
+    keys = spark.range(0, 40_000, 2).select(F.xxhash64("id").alias("key")).union(spark.range(2).select("id"))
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("key")) \
+        .union(spark.createDataFrame([(-1, 0), (-2, 1), (-3, None)], "id long, key long"))
+    left = {r.id for r in maybe_in(rows, "key", written(keys, "test-marks")).collect()}
+    assert {*range(0, 40_000, 2), -1, -2} <= left and -3 not in left and len(left) < 21_500
+
+
+def test_words_are_taken_in_one_step(spark):
+    """The shingles that signatures are made of begin at words and, in longer runs, from the 13th character on."""
+    for line in ("one  two\tthree", "a" + "bcdefghijklm" * 3 + " x", "x" * 12 + " y" * 9, " é日本語" * 5, "z", "日本語の" * 9 + "。"):
+        want = [line[i:i + 7] for i in range(len(line)) if not line[i].isspace()
+                and (not line[:i] or line[i - 1].isspace() or i >= 12 and not re.search(r"\s", line[i - 12:i]))]
+        frame = spark.createDataFrame([(line,)], "line string")
+        assert frame.select(F.regexp_extract_all("line", F.lit(line_dedup.CHOSEN), F.lit(1))).first()[0] == want
+
+
 def test_lines_need_no_python(spark):
     plan = line_dedup.without_repeated_lines(documents(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
