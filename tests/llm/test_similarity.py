@@ -288,6 +288,16 @@ def test_marks_keep_every_key_and_few_others(spark):
     assert {*range(0, 40_000, 2), -1, -2} <= left and -3 not in left and len(left) < 21_500
 
 
+def test_coordinates_are_short_and_keep_their_order(spark):
+    """Minima are what line dedup shuffles most of: 24 bits each, in the order of the halves they come from."""
+    frame = spark.range(2000).select(F.xxhash64("id").alias("x"))
+    rows = frame.select("x", line_dedup._low("x").alias("low"), line_dedup._high("x").alias("high")).collect()
+    assert all(0 <= r.low < 1 << 24 and -1 << 23 <= r.high < 1 << 23 for r in rows)
+    for of, part in ((lambda r: r.x & 0xFFFFFFFF, "low"), (lambda r: r.x >> 32, "high")):
+        values = [r[part] for r in sorted(rows, key=of)]
+        assert values == sorted(values) and len(set(values)) > 1990
+
+
 def test_words_are_taken_in_one_step(spark):
     """The shingles that signatures are made of begin at words and, in longer runs, from the 13th character on."""
     for line in ("one  two\tthree", "a" + "bcdefghijklm" * 3 + " x", "x" * 12 + " y" * 9, " é日本語" * 5, "z", "日本語の" * 9 + "。"):
