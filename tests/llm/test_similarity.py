@@ -312,6 +312,34 @@ def test_lines_need_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_lines_meet_by_shingles_at_every_position(spark):
+    """Lines that end in short words: one changed letter is in few shingles, but in most of those that begin at words."""
+    rng = random.Random(8)
+    by_id = {}
+    for i in range(60):
+        head = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12 + i))
+        by_id[2 * i], by_id[2 * i + 1] = (f"{head} {' '.join('abcd')} {end}" for end in "ef")
+    docs = spark.createDataFrame(sorted(by_id.items()), "doc_id long, text string")
+    rows = line_dedup.line_report(docs).collect()
+    check_lines(rows, by_id)
+    assert sum(r.n_dropped for r in rows) == 60
+
+
+def test_line_signatures_by_size_of_set(spark):
+    """Sets of all sizes have bands, next ones share a kind, and similar sets meet."""
+    rng = random.Random(9)
+    lines = ["".join(chr(rng.randrange(97, 123)) for _ in range(n)) for n in range(1, 160)] + ["日本語😀 " * 9]
+    frame = spark.createDataFrame([(2 * i + j, x[:len(x) - j * (len(x) // 10)]) for i, x in enumerate(lines) for j in (0, 1)],
+                                  "id long, line string")
+    keys = collections.defaultdict(set)
+    for r in line_dedup.signatures(frame).collect():
+        assert len(set(r["keys"])) == line_dedup.BANDS and not keys[r.id] & set(r["keys"])
+        keys[r.id] |= set(r["keys"])
+    assert all(bool(keys[2 * i] & keys[2 * i + 1]) or len(x) - 6 < 10 for i, x in enumerate(lines))
+    got = frame.select("line", line_dedup.shingles(F.col("line")).alias("h")).collect()
+    assert all(len(set(r.h)) == len(line_set(r.line)) and len(r.h) == max(1, len(r.line) - 6) for r in got)
+
+
 # -- passages -------------------------------------------------------------------------
 
 def brute_passages(by_id):
