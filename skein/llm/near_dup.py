@@ -126,7 +126,7 @@ def _decided(own: DataFrame, carried: str = "") -> DataFrame:
     rows = sketch.filter("n_shingles > 0").join(heads, ["h1", "h2", "n_shingles"]) \
         .filter("doc_id = id").select("id", "keys")
     buckets = rows.select("id", F.explode("keys").alias("key"))
-    members = written(colliding(buckets), "members")
+    members = colliding(buckets)
     wanted = written(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     sets = written(own.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(
         _sets, "id long, items array<long>"), "sets")

@@ -1,8 +1,10 @@
 """Near-duplicate documents, lines, passages and vectors, and the pipeline."""
 
 import collections
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ from skein.llm import embed_dedup, line_dedup, links, near_dup, quality, queries
 from skein.llm.components import components
 from skein.llm.links import bitmap, colliding, jaccard_links, linked
 from skein.llm.marks import maybe_in
-from skein.llm.store import written
+from skein.llm.store import freed, written
 from tests.conftest import SF_CHECK, SF_SMALL
 
 from . import brute
@@ -340,6 +342,30 @@ def test_line_signatures_by_size_of_set(spark):
     assert all(len(set(r.h)) == len(line_set(r.line)) and len(r.h) == max(1, len(r.line) - 6) for r in got)
 
 
+def test_line_tables_go_when_they_are_read(spark):
+    """What the steps of line dedup wrote does not add up on disk."""
+    base = os.path.dirname(written(spark.range(1), "one")._scratch).removeprefix("file:")
+    before = set(os.listdir(base))
+    rows = line_dedup.line_report(documents(spark, SF_SMALL)).collect()
+    left = {x.rpartition("-")[0] for x in set(os.listdir(base)) - before}
+    assert rows and "classes" in left and not left & {"bands", "twice", "rest", "members", "wanted", "ids", "near-lines", "sets", "several"}
+
+
+def test_shuffles_of_written_tables_go_at_once(spark):
+    """Shuffle files go when the job ends, not when the driver happens to collect its garbage."""
+    def shuffles():
+        held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(",")
+        return {b for b in held.split(",") if b.startswith("shuffle")}
+    before = shuffles()
+    table = written(spark.range(5000).groupBy((F.col("id") % 97).alias("k")).count(), "one")
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and table.count() == 97
+    freed(table)
+    assert not os.path.exists(table._scratch.removeprefix("file:"))
+
+
 # -- passages -------------------------------------------------------------------------
 
 def brute_passages(by_id):
