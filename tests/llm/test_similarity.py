@@ -366,6 +366,13 @@ def test_shuffles_of_written_tables_go_at_once(spark):
     assert not os.path.exists(table._scratch.removeprefix("file:"))
 
 
+def test_line_signatures_hold_a_number_a_band(spark):
+    """What the executors hold and shuffle for a line is one number for each band."""
+    lines = spark.range(9).select("id", F.col("id").cast("string").alias("line"))
+    plan = line_dedup.signatures(lines)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("min(") == 2 * line_dedup.BANDS and "partial_min(" in plan
+
+
 # -- passages -------------------------------------------------------------------------
 
 def brute_passages(by_id):
